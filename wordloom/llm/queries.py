@@ -31,5 +31,76 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, path).select("doc_id", bpe.n_ids().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op7_bpe": op7_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    kept = line_dedup.dedup_lines(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+with split as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+lines as (
+  select doc_id, unnest(range(1, len(ls) + 1)) pos, unnest(ls) line from split),
+keyed as (
+  select doc_id, pos, line,
+    translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k
+  from lines),
+common as (
+  select k from keyed where length(k) >= 1 group by k having count(distinct doc_id) >= 10)
+select doc_id, cast(count(*) as bigint) n_lines,
+  cast(count(*) filter (where k in (select k from common)) as bigint) n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where k not in (select k from common)), '')) kept_sha256
+from keyed group by doc_id
+"""
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    from ._common import workspace, written
+
+    pages = warc.digests(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "html", min_bytes=1000)
+    bundles = written(warc.write_bundles(pages, "page_id", "url", "html"), workspace(spark, "warc"))
+    r = warc.read_bundles(bundles)
+    response = F.col("record_type") == "response"
+    return r.select(
+        F.when(F.col("record_id") != "", F.col("record_id").cast("long")).alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP6_SQL = """
+with p as (
+  select page_id, coalesce(html, '') html, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) d from pages),
+k as (
+  select d, max(page_id) keep from p where n >= 1000 group by d)
+select page_id, cast(n as bigint) payload_bytes, p.d payload_digest,
+  case when n >= 1000 and page_id <> keep then 'revisit' else 'response' end record_type,
+  case when n >= 1000 and page_id <> keep then keep end refers_to
+from p left join k on p.d = k.d
+"""
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.shard(_read(spark, sf_dir, "documents", "doc_id", "text"), shards=40)
+
+
+# The rules of the contract.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urlfilter
+
+    judged = urlfilter.filter_urls(_read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op6_warc, op7_bpe, op8_sharding, op10_url_filter)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL}
