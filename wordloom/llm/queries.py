@@ -56,6 +56,16 @@ from keyed group by doc_id
 """
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    read = media.load(media.store(_read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_bytes", "media"))
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("payload"), -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
     from ._common import workspace, written
@@ -102,5 +112,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op6_warc, op7_bpe, op8_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op5_media, op6_warc, op7_bpe, op8_sharding, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL}
