@@ -56,6 +56,15 @@ from keyed group by doc_id
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out), _vocabulary("piece_bpe_32k.model"))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -112,5 +121,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op5_media, op6_warc, op7_bpe, op8_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_language_id, op5_media, op6_warc, op7_bpe, op8_sharding, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL}
