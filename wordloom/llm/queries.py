@@ -65,6 +65,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann_forest
+
+    vectors = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann_forest.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -110,6 +117,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents", "doc_id", "text"), shards=40)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.classes(_read(spark, sf_dir, "documents", "doc_id", "text"), n=3, percent=90)
+
+
 # The rules of the contract.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -121,5 +134,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_language_id, op5_media, op6_warc, op7_bpe, op8_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_language_id, op4_ann_forest, op5_media, op6_warc, op7_bpe, op8_sharding, op9_jaccard_join, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL}
