@@ -33,10 +33,19 @@ def fast_sigmoid(x, grid: int = GRID) -> Column:
     return F.when(i < 0, F.lit(0.0)).when(i >= grid, F.lit(1.0)).otherwise(1 / (1 + F.exp(-(SIGMOID_LIMIT * (i / (grid - 1) - 0.5) * 2))))
 
 
+def _grid_values(grid: int) -> np.ndarray:
+    """0 for below the grid, its values, 1 for above."""
+    return np.concatenate([[0.0], 1 / (1 + np.exp(-SIGMOID_LIMIT * (np.arange(grid) / (grid - 1) - 0.5) * 2)), [1.0]])
+
+
+_GRIDS = {GRID: _grid_values(GRID)}
+
+
 def fast_sigmoid_array(x: np.ndarray, grid: int = GRID) -> np.ndarray:
-    i = np.trunc((grid - 1) * ((x / SIGMOID_LIMIT) + 1) / 2)
-    y = 1 / (1 + np.exp(-SIGMOID_LIMIT * (np.clip(i, 0, grid - 1) / (grid - 1) - 0.5) * 2))
-    return np.where(i < 0, 0.0, np.where(i >= grid, 1.0, y))
+    if grid not in _GRIDS:
+        _GRIDS[grid] = _grid_values(grid)
+    i = ((grid - 1) / 2 * (x / SIGMOID_LIMIT + 1)).clip(-1, grid).astype(np.int64)  # toward zero
+    return _GRIDS[grid][i + 1]
 
 
 def strided(v, step: int) -> Column:
