@@ -54,11 +54,19 @@ def readable(spark: SparkSession, path: str) -> None:
         raise OSError(f"cannot be read: {path}") from e
 
 
-def text_file(spark: SparkSession, path: str) -> DataFrame:
-    """A text file, or folder of them, as one row a line: (file, line_no, text), each line with its newline kept implied."""
+FILE_KEY = ["file", "block", "line"]
+
+
+def text_file(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """A text file, or folder of them: (file, block, line, text), which sort in file order.
+
+    Files are read in splits, a row for each line. ``whole`` reads a file as one row, for the stream form that drops an unterminated last word.
+    """
     readable(spark, path)
-    x = spark.read.option("wholetext", True).text(path)
-    return x.select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    if whole:
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("line"), F.col("value").alias("text"))
+    x = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return x.select("file", "block", F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
 
 
 def vocab_file(spark: SparkSession, path: str) -> DataFrame:
