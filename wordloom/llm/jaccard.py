@@ -9,10 +9,10 @@ of each document under links, so a region whose documents are known to be connec
    small set is a pivot and a document falls to the pivot at distance 0. A linked pair differs in at most ``D = |A| (1 - t) / t``
    shingles (``t = percent / 100``), so it agrees in all parts but ``D``; of a document's regions, the ``D + 1`` whose pivot sets are largest
    suffice for it to meet every partner in one. Sets with too few parts for that add single shingles the same way.
-3. *Region join.* A region's pivot is its smallest class. True distances to the pivot are measured where the region is not
+3. *Region join.* A region's pivot is its most central class. True distances to the pivot are measured where the region is not
    connected yet. If documents stay apart, the triangle inequality decides who goes on: all outside the pivot's component, and
    of those inside only the boundary, whose distance to the pivot is within ``r`` of an outsider's. They form the next region, with a pivot from
-   outside, and join in turn. Regions that are not settled after ``rounds`` are compared in blocks.
+   outside, and join in turn. Regions that are not settled after ``rounds`` are compared in blocks, each set of members once.
 
 Sampled documents as pivots of the whole table are not used: unrelated texts are at distance near 1 from each other, so with windows of
 ``2 r`` nearly each falls to every pivot (the README has figures). Inside regions distances differ and the windows cut.
@@ -161,15 +161,12 @@ def common(a: pd.Series, b: pd.Series) -> pd.Series:
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(c, root): the smallest class that each class of ``edges`` (a, b) is connected with, by alternating star contractions."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/edges-0")
-    before, i = None, 0
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before, i = state, i + 1
+    i = 0
+    while not _stars(edges):
+        i += 1
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Each a now leads to smaller ones only: tie a and all of them to the smallest.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b")))
@@ -177,70 +174,77 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return edges.select(F.col("a").alias("c"), F.col("b").alias("root"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each class has one edge and no root has any."""
+    if not edges.groupBy("a").count().where("count > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+
+
 class Regions:
     """The region join over one table of classes."""
 
-    def __init__(self, bodies: DataFrame, sizes: DataFrame, percent: int, folder: str):
-        self.bodies, self.sizes, self.percent, self.folder = bodies, sizes, percent, folder
-        self.links: DataFrame | None = None
+    def __init__(self, bodies: DataFrame, percent: int, folder: str):
+        self.bodies, self.percent, self.folder = bodies, percent, folder
+        self.labels: DataFrame | None = None
         self.made = 0
 
     def _next(self, name: str) -> str:
         self.made += 1
         return f"{self.folder}/{name}-{self.made}"
 
-    def linked(self) -> str:
-        return f"100 * met >= {self.percent} * (n_c + n_p - met)"
-
     def measure(self, pairs: DataFrame) -> DataFrame:
         """(c, p, d, link) of distinct pairs."""
         body = self.bodies
         x = pairs.join(body, "c").join(body.select(F.col("c").alias("p"), F.col("body").alias("body_p")), "p")
         x = x.select("c", "p", common("body", "body_p").alias("met"), (F.octet_length("body") / 8).cast("long").alias("n_c"), (F.octet_length("body_p") / 8).cast("long").alias("n_p"))
-        x = x.select("c", "p", (1 - F.col("met") / (F.col("n_c") + F.col("n_p") - F.col("met"))).alias("d"), F.expr(self.linked()).alias("link"))
+        x = x.select("c", "p", (1 - F.col("met") / (F.col("n_c") + F.col("n_p") - F.col("met"))).alias("d"), F.expr(f"100 * met >= {self.percent} * (n_c + n_p - met)").alias("link"))
         out = written(x, self._next("known"))
-        found = out.where("link").select(F.col("c").alias("a"), F.col("p").alias("b"))
-        self.links = found if self.links is None else self.links.unionAll(found)
+        self._add(out.where("link").select(F.col("c").alias("a"), F.col("p").alias("b")))
         return out
 
-    def labels(self) -> DataFrame:
-        return components(self.links, self._next("components"))
+    def _add(self, links: DataFrame) -> None:
+        """Merges new links into the components so far, whose stars stand for all earlier links."""
+        old = self.labels
+        edges = links if old is None else links.unionAll(old.select(F.col("c").alias("a"), F.col("root").alias("b")))
+        self.labels = components(edges, self._next("components"))
 
-    @staticmethod
-    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    def labelled(self, rows: DataFrame) -> DataFrame:
         """``rows`` (token, c, p) with the components of c and p."""
-        x = rows.join(labels.withColumnRenamed("root", "lc"), "c", "left").join(labels.select(F.col("c").alias("p"), F.col("root").alias("lp")), "p", "left")
+        x = rows.join(self.labels.withColumnRenamed("root", "lc"), "c", "left").join(self.labels.select(F.col("c").alias("p"), F.col("root").alias("lp")), "p", "left")
         return x.withColumns({"lc": F.coalesce("lc", "c"), "lp": F.coalesce("lp", "p")})
 
+    def apart(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of the regions that hold more than one component."""
+        x = written(self.labelled(rows), self._next("labelled"))
+        return x.join(x.where("lc <> lp").select("token").distinct(), "token", "left_semi")
+
     def join(self, rows: DataFrame, rounds: int, block: int) -> DataFrame:
-        """Settles regions (token, c, p) and returns (c, root)."""
-        # First each class with the smallest pivot it meets: in groups of copies this connects nearly all.
-        known = self.measure(rows.groupBy("c").agg(F.min("p").alias("p")))
-        labels = self.labels()
+        """Settles regions (token, c, p, rank) and returns (c, root)."""
+        # First each class with the most central pivot it meets: in groups of copies this connects nearly all.
+        known = self.measure(rows.groupBy("c").agg(F.max_by("p", "rank").alias("p")))
+        rows = rows.select("token", "c", "p")
         for _ in range(rounds):
-            apart = written(self.labelled(rows, labels).where("lc <> lp").select("token").distinct(), self._next("apart"))
-            if apart.isEmpty():
-                return labels
-            rows = written(rows.join(apart, "token", "left_semi"), self._next("rows"))
+            rows = written(self.apart(rows), self._next("rows"))
+            if rows.isEmpty():
+                return self.labels
             missing = rows.select("c", "p").distinct().join(known.select("c", "p"), ["c", "p"], "left_anti")
             known = known.unionAll(self.measure(missing))
-            labels = self.labels()
             # Who goes on: outsiders, and insiders at the boundary of the pivot's component.
-            x = self.labelled(rows.join(known.select("c", "p", "d"), ["c", "p"]), labels).withColumn("out", F.expr("lc <> lp"))
+            x = written(self.labelled(rows.select("token", "c", "p").join(known.select("c", "p", "d"), ["c", "p"])), self._next("measured"))
             r = 1 - self.percent / 100 + 1e-9
-            ends = x.where("out").groupBy("token").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.min("c").alias("q"), F.count("*").alias("k"))
-            x = x.join(ends, "token").where(f"c <> q and (out or d between low - {r} and high + {r})")
-            rows = written(x.select("token", "c", F.col("q").alias("p")), self._next("rows"))
-        left = written(self.labelled(rows, labels).where("lc <> lp").select("token").distinct(), self._next("apart"))
-        if left.isEmpty():
-            return labels
-        self._blocks(rows.join(left, "token", "left_semi"), labels, block)
-        return self.labels()
-
-    def _blocks(self, rows: DataFrame, labels: DataFrame, block: int) -> None:
+            ends = x.where("lc <> lp").groupBy("token").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.min("c").alias("q"))
+            x = x.join(ends, "token").where(f"c <> q and (lc <> lp or d between low - {r} and high + {r})")
+            rows = x.select("token", "c", F.col("q").alias("p"))
+        rows = written(self.apart(rows), self._next("rows"))
+        if not rows.isEmpty():
+            self._blocks(rows, block)
+        return self.labels
+
+    def _blocks(self, rows: DataFrame, block: int) -> None:
         """Compares the classes of each region that are in different components, two blocks at a time."""
-        members = rows.select("token", "c").unionAll(rows.select("token", F.col("p").alias("c"))).distinct()
-        members = members.join(labels.withColumnRenamed("root", "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        members = rows.select("token", "c", F.col("lc").alias("label")).unionAll(rows.select("token", F.col("p").alias("c"), F.col("lp").alias("label")).distinct())
+        members = one_token_each(members, self._next("members"))
         counts = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
         x = members.join(counts, "token").withColumn("own", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
         x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -248,27 +252,53 @@ class Regions:
         percent = self.percent
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            sets = [np.frombuffer(b, dtype=np.uint64) for b in pdf["body"]]
-            ids, names = pdf["c"].tolist(), pdf["label"].tolist()
-            a, b = [], []
-            for k in np.argsort([len(s) for s in sets], kind="stable").tolist():
-                for m in range(len(ids)):
-                    x, y = sets[k], sets[m]
-                    if names[k] == names[m] or 100 * len(x) < percent * len(y) or len(x) > len(y) or len(x) == len(y) and ids[k] > ids[m] or not len(x):
-                        continue
-                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        a.append(ids[k])
-                        b.append(ids[m])
-                        old, new = names[m], names[k]
-                        names = [new if z == old else z for z in names]
-            return pd.DataFrame({"a": a, "b": b}, dtype="int64")
-
-        found = written(x.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct(), self._next("found"))
-        self.links = self.links.unionAll(found)
-
-
-def classes(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, block: int = 128, rows: int = 512) -> DataFrame:
+            edges = linked_pairs([np.frombuffer(b, dtype=np.uint64) for b in pdf["body"]], pdf["label"].to_numpy(), percent)
+            ids = pdf["c"].to_numpy()
+            return pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
+
+        found = x.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        self._add(written(found, self._next("found")))
+
+
+def linked_pairs(sets: list[np.ndarray], labels: np.ndarray, percent: int, cells: int = 1 << 22) -> np.ndarray:
+    """Links (i, j) that connect different labels, a spanning forest of them. Intersections come from products of incidence matrices, some columns at a time."""
+    g, size = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, keep = np.repeat(np.arange(g), size), times > 1  # a shingle of one set meets none
+    dense = (np.cumsum(keep) - 1)[column]
+    owner, dense = owner[keep[column]], dense[keep[column]]
+    order = np.argsort(dense, kind="stable")
+    owner, dense = owner[order], dense[order]
+    met, wide = np.zeros((g, g)), max(1, cells // g)
+    for first in range(0, int(keep.sum()), wide):
+        a, b = np.searchsorted(dense, (first, first + wide))
+        m = np.zeros((g, wide), dtype=np.float32)
+        m[owner[a:b], dense[a:b] - first] = 1
+        met += m @ m.T
+    link = (100 * met >= percent * (size[:, None] + size[None, :] - met)) & (labels[:, None] != labels[None, :])
+    root, out = {}, []
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, j in np.argwhere(np.triu(link)).tolist():
+        x, y = find(labels[i]), find(labels[j])
+        if x != y:
+            root[x] = y
+            out.append((i, j))
+    return np.array(out, dtype=np.int64).reshape(-1, 2)
+
+
+def one_token_each(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` (token, c, ...) of regions with two members at least, one region for each set of members."""
+    sums = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.hash("c").cast("long")).alias("y")]
+    kept = rows.groupBy("token").agg(*sums).where("k > 1").groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token", "k")
+    return written(rows.join(kept, "token"), path)
+
+
+def classes(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", rounds: int = 1, block: int = 512, rows: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: its set's size, and the smallest id that links reach."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
@@ -281,14 +311,18 @@ def classes(df: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id"
     members = written(whole.select("row", "id", "n", "set_hash", "text_hash").join(owner, "set_hash").drop("set_hash"), f"{folder}/members")
     first = members.where("row = c").select("c", "id", "text_hash", "n")
     tokens = whole.select(F.col("row").alias("c"), "tokens").join(first.select("c"), "c", "left_semi").select(F.explode("tokens").alias("token"), "c")
-    pivots = tokens.groupBy("token").agg(F.min("c").alias("p"), F.count("*").alias("k")).where("k > 1").drop("k")
-    regions = written(tokens.join(pivots, "token").where("c <> p"), f"{folder}/regions")
+    shared = one_token_each(tokens, f"{folder}/shared")
+    # The pivot of a region is its most central class: the one whose regions hold the most classes; a hash breaks ties.
+    central = shared.groupBy("c").agg(F.sum("k").alias("s")).withColumn("rank", F.shiftleft("s", 20) + F.pmod(F.xxhash64("c"), F.lit(1 << 20)))
+    ranked = shared.select("token", "c").join(central.select("c", "rank"), "c")
+    pivots = ranked.groupBy("token").agg(F.max_by("c", "rank").alias("p"), F.max("rank").alias("rank"))
+    regions = written(shared.select("token", "c").join(pivots, "token").where("c <> p"), f"{folder}/regions")
     # Shingles of the classes that share a region, from their texts.
     met = regions.select("c").unionAll(regions.select(F.col("p").alias("c"))).distinct()
     need = first.join(met, "c", "left_semi").select("c", F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
     texts = base.join(need, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("c", "text")
     bodies = written(_bodies(texts, n, rows).dropDuplicates(["c"]), f"{folder}/bodies")
-    labels = Regions(bodies, first, percent, folder).join(regions, rounds, block)
+    labels = Regions(bodies, percent, folder).join(regions, rounds, block)
     named = members.join(labels, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     out = named.join(least, "root").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
