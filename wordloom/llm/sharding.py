@@ -67,7 +67,7 @@ def even(size: np.ndarray, at: np.ndarray, shards: int, rounds: int = 4000) -> n
     return at
 
 
-def shard(df: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", overhead: int = 16, buckets: int = 16_384, grain: int = 64) -> DataFrame:
+def shard(df: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", overhead: int = 16, buckets: int = 16_384, grain: int = 4) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), tokens."""
     spark = df.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
