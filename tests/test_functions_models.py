@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import numeric as N
-from wordloom.operators import sgns, similarity
+from wordloom.operators import protocols, sampling, sgns, similarity, sketch
 from wordloom.sources import models
 
 X, Y = [0.5, -1.0, -2.0], [-5.0, 0.0, -3.0]
@@ -56,6 +56,19 @@ def test_schedule(spark):
         sgns.Schedule.new(2, 0)
 
 
+def test_gradient_updates():
+    g = np.array([-5.0, 0, -3])
+    for t, alpha, want in ((1, 1, [-1.975, -1, -3.485]), (1, 2, [-4.45, -1, -4.97]), (2, 1, [-1.95, -1, -3.47]), (2, 2, [-4.4, -1, -4.94])):
+        s, x = sgns.Schedule(100, 0.5, 0.1, np.array([t])), np.array(X)
+        s.update(0, g, x, alpha)
+        assert x == pytest.approx(want)
+
+
+def test_protocols():
+    assert isinstance(sketch.SpaceSaving(1), protocols.LanguageModel) and isinstance(sampling.EmpiricalSampler(lambda: [1]), protocols.NegativeSampler)
+    assert isinstance(sgns.Schedule.new(1, 1), protocols.RateSchedule) and isinstance(sgns.dynamic_reach(np.random.default_rng(0)), protocols.ContextStrategy)
+
+
 def model():
     return sgns.Model(np.array(WORD, np.float32), np.array(CTX, np.float32), sgns.Schedule(2, 0.5, 0.1, np.zeros(3, dtype=np.int64)))
 

@@ -250,6 +250,21 @@ def alias_table_distribution(spark, d):
     return spark.createDataFrame([(int(i), float(x)) for (i, _), x in zip(rows, implied, strict=True)], "id long, p double").withColumn("p", F.round("p", 7))
 
 
+RAND = "r as (select draw, unnest(range(0, 8)) i from d)"
+
+
+@query(f"""with {DRAWS}, {RAND} select draw, cast(i as bigint) i, round({U("'v'", 'draw', 'i')} - 0.5, 9) x from r""")
+def centered_uniform_vectors(spark, d):
+    x = spark.range(5000).select(F.col("id").alias("draw"), F.posexplode(sampling.centered_uniform_vector(8, "v", F.col("id"))).alias("i", "x"))
+    return x.select("draw", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x"))
+
+
+@query(f"""with {DRAWS}, {RAND} select draw, cast(i as bigint) i, round(sqrt(-2 * ln(1 - {U("'g'", 'draw', "'a'", 'i')})) * cos(2 * pi() * {U("'g'", 'draw', "'b'", 'i')}), 7) x from r""")
+def gaussian_vectors(spark, d):
+    x = spark.range(5000).select(F.col("id").alias("draw"), F.posexplode(sampling.gaussian_vector(8, "g", F.col("id"))).alias("i", "x"))
+    return x.select("draw", F.col("i").cast("long").alias("i"), F.round("x", 7).alias("x"))
+
+
 # Contexts
 
 
