@@ -12,7 +12,8 @@ of each document under links, so a region whose documents are known to be connec
 3. *Region join.* A region's pivot is its most central class. True distances to the pivot are measured where the region is not
    connected yet. If documents stay apart, the triangle inequality decides who goes on: all outside the pivot's component, and
    of those inside only the boundary, whose distance to the pivot is within ``r`` of an outsider's. They form the next region, with a pivot from
-   outside, and join in turn. Regions that are not settled after ``rounds`` are compared in blocks, each set of members once.
+   outside, and join in turn. Regions that are not settled after ``rounds`` are compared in blocks, each set of members once: first
+   by counts of shingles in classes, which bound distances from below, then by the sets of those that stay.
 
 Sampled documents as pivots of the whole table are not used: unrelated texts are at distance near 1 from each other, so with windows of
 ``2 r`` nearly each falls to every pivot (the README has figures). Inside regions distances differ and the windows cut.
@@ -242,23 +243,83 @@ class Regions:
         return self.labels
 
     def _blocks(self, rows: DataFrame, block: int) -> None:
-        """Compares the classes of each region that are in different components, two blocks at a time."""
+        """Compares the classes of each region that are in different components, two blocks at a time.
+
+        First by counts of shingles in ``CLASSES`` classes, which bound an intersection from above: who can have no partner goes.
+        """
         members = rows.select("token", "c", F.col("lc").alias("label")).unionAll(rows.select("token", F.col("p").alias("c"), F.col("lp").alias("label")).distinct())
         members = one_token_each(members, self._next("members"))
-        counts = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        x = members.join(counts, "token").withColumn("own", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-        x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        x = x.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "label").join(self.bodies, "c")
         percent = self.percent
+        near = self._pairs_of_blocks(members, self.bodies.select("c", class_counts("body").alias("body")), block)
+        some = grouped(near, lambda t: t.filter(pa.array(has_partner(t, percent))), near.schema).select("token", "c", "label").distinct()
+        some = written(some, self._next("some"))
 
-        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            edges = linked_pairs([np.frombuffer(b, dtype=np.uint64) for b in pdf["body"]], pdf["label"].to_numpy(), percent)
-            ids = pdf["c"].to_numpy()
-            return pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
+        def compare(t: pa.Table) -> pa.Table:
+            edges = linked_pairs([np.frombuffer(b, dtype=np.uint64) for b in t.column("body").to_pylist()], t.column("label").to_numpy(), percent)
+            ids = t.column("c").to_numpy()
+            return pa.table({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
 
-        found = x.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        kind = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+        found = grouped(self._pairs_of_blocks(some, self.bodies, block), compare, kind).distinct()
         self._add(written(found, self._next("found")))
 
+    @staticmethod
+    def _pairs_of_blocks(members: DataFrame, bodies: DataFrame, block: int) -> DataFrame:
+        """``members`` with bodies, dealt to pairs (i, j) of blocks of their region."""
+        counts = members.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+        x = members.select("token", "c", "label").join(counts, "token").withColumn("own", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+        x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return x.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "label").join(bodies, "c")
+
+
+def grouped(df: DataFrame, f, kind: T.StructType) -> DataFrame:
+    """``f`` of the Arrow table of each (token, i, j): many small groups go through one task's stream, one at a time."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            keys = np.stack([b.column(b.schema.get_field_index(n)).to_numpy().astype(np.int64) for n in ("token", "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if first == end:
+                    continue
+                own = tuple(keys[:, first].tolist())
+                if held and own != last:
+                    yield from f(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(b.slice(first, end - first))
+                last = own
+        if held:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    arrow_rows(df.sparkSession, 2048)
+    return df.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, kind)
+
+
+#: Classes of the counts that bound intersections.
+CLASSES = 256
+
+
+@F.pandas_udf(T.BinaryType())
+def class_counts(body: pd.Series) -> pd.Series:
+    """Shingles of a packed set in each class, packed 32-bit counts."""
+    return pd.Series([np.bincount((np.frombuffer(b, dtype=np.uint64) >> U(56)).astype(np.int64), minlength=CLASSES).astype("<u4").tobytes() for b in body], dtype=object)
+
+
+def has_partner(t: pa.Table, percent: int) -> np.ndarray:
+    """Whether the counts of a row allow a link with some row of another label."""
+    x, labels = np.stack([np.frombuffer(b, dtype="<u4").astype(np.int32) for b in t.column("body").to_pylist()]), t.column("label").to_numpy()
+    size, out = x.sum(axis=1), np.zeros(len(x), dtype=bool)
+    for i in range(len(x) - 1):
+        low, high = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+        j = i + 1 + np.flatnonzero((labels[i + 1 :] != labels[i]) & (100 * low >= percent * high))
+        met = np.minimum(x[i], x[j]).sum(axis=1)
+        j = j[100 * met >= percent * (size[i] + size[j] - met)]
+        out[j] = True
+        out[i] |= len(j) > 0
+    return out
+
 
 def linked_pairs(sets: list[np.ndarray], labels: np.ndarray, percent: int, cells: int = 1 << 22) -> np.ndarray:
     """Links (i, j) that connect different labels, a spanning forest of them. Intersections come from products of incidence matrices, some columns at a time."""
