@@ -137,22 +137,49 @@ def lookup_ids_with_oov(spark, d):
     return vocab.lookup(x, _vocab(spark, d)).select("conv_id", "turn", "line_no", "pos", "word", "word_id")
 
 
-@query(f"with {VOC(SMALL)} select source, count(*) n_tokens, count(*) - count(word_id) n_oov from tok left join voc on tok.word = voc.word group by source")
-def oov_rate_by_source(spark, d):
-    x = vocab.lookup(_tokens(spark, d, "source"), _vocab(spark, d, SMALL))
+def OOV_RATE(n: int) -> str:
+    return f"with {VOC(n)} select source, count(*) n_tokens, count(*) - count(word_id) n_oov from tok left join voc on tok.word = voc.word group by source"
+
+
+def _oov_rate(spark, d, n: int) -> DataFrame:
+    x = vocab.lookup(_tokens(spark, d, "source"), _vocab(spark, d, n), n)
     return x.groupBy("source").agg(F.count("*").alias("n_tokens"), F.sum((F.col("word_id") < 0).cast("long")).alias("n_oov"))
 
 
-ENC = VOC(SMALL) + ",\nenc as (select doc_id, line_no, list(word_id order by pos) ids from tok join voc on tok.word = voc.word group by doc_id, line_no)"
+@query(OOV_RATE(SMALL))
+def oov_rate_by_source(spark, d):
+    return _oov_rate(spark, d, SMALL)
+
+
+@query(OOV_RATE(V))
+def oov_rate_by_source_full(spark, d):
+    return _oov_rate(spark, d, V)
+
+
+def ENC(n: int) -> str:
+    return VOC(n) + ",\nenc as (select doc_id, line_no, list(word_id order by pos) ids from tok join voc on tok.word = voc.word group by doc_id, line_no)"
+
+
+def _encoded(spark, d, n: int = V) -> DataFrame:
+    return vocab.encode_sentences(vocab.in_vocabulary(_tokens(spark, d), _vocab(spark, d, n), n), ["doc_id", "line_no"])
 
 
-def _encoded(spark, d, n: int = SMALL) -> DataFrame:
-    return vocab.encode_sentences(vocab.in_vocabulary(_tokens(spark, d), _vocab(spark, d, n)), ["doc_id", "line_no"])
+def ENC_TEXT(n: int) -> str:
+    return f"with {ENC(n)} select doc_id, line_no, cast(len(ids) as bigint) n_ids, array_to_string(ids, ' ') ids_text from enc"
 
 
-@query(f"with {ENC} select doc_id, line_no, cast(len(ids) as bigint) n_ids, array_to_string(ids, ' ') ids_text from enc")
+def _encoded_text(spark, d, n: int) -> DataFrame:
+    return _encoded(spark, d, n).select("doc_id", "line_no", F.size("ids").cast("long").alias("n_ids"), F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids_text"))
+
+
+@query(ENC_TEXT(SMALL))
 def encoded_sentences(spark, d):
-    return _encoded(spark, d).select("doc_id", "line_no", F.size("ids").cast("long").alias("n_ids"), F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids_text"))
+    return _encoded_text(spark, d, SMALL)
+
+
+@query(ENC_TEXT(V))
+def encoded_sentences_full(spark, d):
+    return _encoded_text(spark, d, V)
 
 
 @query(f"with {VOC(SMALL)}, ids as (select unnest(range(0, 2000, 7)) word_id) select word_id, word, count from ids join voc using (word_id)")
@@ -160,17 +187,39 @@ def reverse_lookup(spark, d):
     return vocab.reverse_lookup(spark.range(0, 2000, 7).withColumnRenamed("id", "word_id"), _vocab(spark, d, SMALL)).select("word_id", "word", "count")
 
 
-@query(f"""with {VOC(SMALL)}, x as (select doc_id, line_no, pos, coalesce(word_id, -1) i from tok left join voc on tok.word = voc.word),
+#: All ids of the vocabulary, and a thousand unknown ones.
+ASKED = V + 1000
+
+
+@query(f"with {VOC(V)}, ids as (select unnest(range(0, {ASKED})) word_id) select word_id, word, count from ids join voc using (word_id)")
+def reverse_lookup_full(spark, d):
+    return vocab.reverse_lookup(spark.range(ASKED).withColumnRenamed("id", "word_id"), _vocab(spark, d)).select("word_id", "word", "count")
+
+
+def HAS_OOV(n: int) -> str:
+    return f"""with {VOC(n)}, x as (select doc_id, line_no, pos, coalesce(word_id, -1) i from tok left join voc on tok.word = voc.word),
 w as (select doc_id, min(i) over (partition by doc_id, line_no order by pos rows between current row and 3 following) m, count(*) over (partition by doc_id, line_no order by pos rows between current row and 3 following) c from x)
-select doc_id, count(*) n_windows, count(*) filter (where m < 0) n_with_oov from w where c = 4 group by doc_id""")
-def context_has_oov(spark, d):
-    x = vocab.lookup(_tokens(spark, d), _vocab(spark, d, SMALL))
+select doc_id, count(*) n_windows, count(*) filter (where m < 0) n_with_oov from w where c = 4 group by doc_id"""
+
+
+def _has_oov(spark, d, n: int) -> DataFrame:
+    x = vocab.lookup(_tokens(spark, d), _vocab(spark, d, n), n)
     x = vocab.encode_sentences(x, ["doc_id", "line_no"]).where(F.size("ids") >= 4)
     at = F.sequence(F.lit(1), F.size("ids") - 3)
     x = x.select("doc_id", "ids", F.explode(at).alias("at")).select("doc_id", context.has_oov(F.slice("ids", F.col("at"), 4)).alias("oov"))
     return x.groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.sum(F.col("oov").cast("long")).alias("n_with_oov"))
 
 
+@query(HAS_OOV(SMALL))
+def context_has_oov(spark, d):
+    return _has_oov(spark, d, SMALL)
+
+
+@query(HAS_OOV(V))
+def context_has_oov_full(spark, d):
+    return _has_oov(spark, d, V)
+
+
 @query(f"with {VOC(V)}, t as (select sum(count) total from voc) select word_id, word, round(least(1.0, sqrt(0.001 * total / count)), 9) keep_prob from voc, t")
 def keep_probability(spark, d):
     v = _vocab(spark, d)
@@ -268,25 +317,54 @@ def gaussian_vectors(spark, d):
 # Contexts
 
 
-PAIR = ENC + ",\nx as (select doc_id, line_no, ids, pos, ids[pos] target, %s r from (select *, unnest(range(1, len(ids) + 1)) pos from enc)),\n" + (
-    "p as (select doc_id, line_no, pos, target, ids[q] context from (select *, unnest(range(greatest(1, pos - r), least(len(ids), pos + r) + 1)) q from x) where q <> pos)"
-)
+def PAIR(n: int, reach: str) -> str:
+    return ENC(n) + f",\nx as (select doc_id, line_no, ids, pos, ids[pos] target, {reach} r from (select *, unnest(range(1, len(ids) + 1)) pos from enc)),\n" + (
+        "p as (select doc_id, line_no, pos, target, ids[q] context from (select *, unnest(range(greatest(1, pos - r), least(len(ids), pos + r) + 1)) q from x) where q <> pos)"
+    )
+
+
+DYNAMIC = "1 + cast(floor(" + U("'w'", "doc_id", "line_no", "pos") + " * 5) as bigint)"
+
+
+def PAIR_COUNTS(n: int, reach: str, more: str = "") -> str:
+    return f"with {PAIR(n, reach)} select target, context, count(*) n from p group by all{more}"
 
 
-@query(f"with {PAIR % '2'} select target, context, count(*) n from p group by all")
+def _pair_counts(spark, d, n: int, c: int, dynamic: str | None = None) -> DataFrame:
+    return context.pairs(_encoded(spark, d, n), ["doc_id", "line_no"], c=c, dynamic=dynamic).groupBy("target", "context").agg(F.count("*").alias("n"))
+
+
+@query(PAIR_COUNTS(SMALL, "2"))
 def skipgram_pairs_static(spark, d):
-    return context.pairs(_encoded(spark, d), ["doc_id", "line_no"], c=2).groupBy("target", "context").agg(F.count("*").alias("n"))
+    return _pair_counts(spark, d, SMALL, 2)
+
 
+@query(PAIR_COUNTS(V, "2"))
+def skipgram_pairs_static_full(spark, d):
+    return _pair_counts(spark, d, V, 2)
 
-@query(f"with {PAIR % ('1 + cast(floor(' + U(chr(39) + 'w' + chr(39), 'doc_id', 'line_no', 'pos') + ' * 5) as bigint)')} select target, context, count(*) n from p group by all")
+
+@query(PAIR_COUNTS(SMALL, DYNAMIC))
 def skipgram_pairs_dynamic(spark, d):
-    return context.pairs(_encoded(spark, d), ["doc_id", "line_no"], c=5, dynamic="w").groupBy("target", "context").agg(F.count("*").alias("n"))
+    return _pair_counts(spark, d, SMALL, 5, "w")
+
 
+@query(PAIR_COUNTS(V, DYNAMIC))
+def skipgram_pairs_dynamic_full(spark, d):
+    return _pair_counts(spark, d, V, 5, "w")
 
-@query(f"with {PAIR % '5'} select target, context, count(*) n from p group by all order by n desc, target, context limit 100")
+
+MOST = " order by n desc, target, context limit 100"
+
+
+@query(PAIR_COUNTS(SMALL, "5", MOST))
 def pair_counts_topk(spark, d):
-    x = context.pairs(_encoded(spark, d), ["doc_id", "line_no"], c=5).groupBy("target", "context").agg(F.count("*").alias("n"))
-    return x.orderBy(F.desc("n"), "target", "context").limit(100)
+    return _pair_counts(spark, d, SMALL, 5).orderBy(F.desc("n"), "target", "context").limit(100)
+
+
+@query(PAIR_COUNTS(V, "5", MOST))
+def pair_counts_topk_full(spark, d):
+    return _pair_counts(spark, d, V, 5).orderBy(F.desc("n"), "target", "context").limit(100)
 
 
 # Functions
