@@ -494,12 +494,12 @@ def spacesaving_exact_regime(spark, d):
 
 @query()
 def spacesaving_topk(spark, d):
-    return sketch.exact_order(_tokens(spark, d), 2000, "doc_id", "line_no", "pos")
+    return sketch.exact_order(_tokens(spark, d), V, "doc_id", "line_no", "pos")
 
 
 @query()
 def spacesaving_merged(spark, d):
-    return sketch.merged(_tokens(spark, d), 2000)
+    return sketch.merged(_tokens(spark, d), V)
 
 
 @query()
@@ -507,7 +507,7 @@ def spacesaving_streaming(spark, d):
     from ..streaming import stateful as S
 
     x = text.tokens(S.read_stream(spark, f"{d}/documents.parquet"), ["doc_id"])
-    return S.run_to_end(S.sketch_stream(x, 2000, ["doc_id", "line_no", "pos"]), "sketch-stream").select("word_id", "word", "count", "total")
+    return S.run_to_end(S.sketch_stream(x, V, ["doc_id", "line_no", "pos"]), "sketch-stream").select("word_id", "word", "count", "total")
 
 
 def _trained(spark, d, **settings):
@@ -515,7 +515,7 @@ def _trained(spark, d, **settings):
     total = v.agg(F.sum("count")).first()[0] or 0
     kept = vocab.subsample(_tokens(spark, d), v, total, ["doc_id", "line_no", "pos"])
     sentences = vocab.encode_sentences(kept, ["doc_id", "line_no"])
-    return sgns.train(sentences, v, dim=16, order=("doc_id", "line_no"), **settings)
+    return sgns.train(sentences, v, order=("doc_id", "line_no"), **settings)
 
 
 @query()
@@ -533,5 +533,5 @@ def sgns_stream(spark, d):
     from ..streaming import stateful as S
 
     x = text.sentences(S.read_stream(spark, f"{d}/conversations.parquet"), ["conv_id", "turn"])
-    out = S.run_to_end(S.sgns_stream(x, 2000, ["conv_id", "turn", "line_no", "chunk"], dim=16), "sgns-stream")
+    out = S.run_to_end(S.sgns_stream(x, V, ["conv_id", "turn", "line_no", "chunk"]), "sgns-stream")
     return out.select("word_id", "word", "count", "total", "word_vec")
