@@ -1,0 +1,36 @@
+"""Noise slots and reservoir sizes of the trainers."""
+
+import inspect
+
+import numpy as np
+
+from wordloom.__main__ import parser
+from wordloom.operators import sgns
+from wordloom.operators.sampling import slot_counts
+from wordloom.streaming import stateful
+
+
+def test_runs_are_the_slots():
+    rng = np.random.default_rng(1)
+    for size, n in [(1, 5), (3, 10), (40, 100), (100, 1000)]:
+        p = rng.random(size) ** 4
+        p /= p.sum()
+        assert np.diff(sgns.slot_ends(p, n), prepend=0).tolist() == slot_counts(p.tolist(), n)
+
+
+def test_rare_words_are_drawn():
+    counts = np.array([10**9, *[1] * 300_000])
+    share = (counts**0.75)[1:].sum() / (counts**0.75).sum()
+    draw = sgns.negative_sampler(counts, "discrete", np.random.default_rng(0))
+    rare = draw(1_000_000)
+    rare = rare[rare > 0]
+    assert abs(len(rare) / 1_000_000 - share) < 0.01
+    assert abs(len(np.unique(rare)) - 300_000 * (1 - np.exp(-len(rare) / 300_000))) < 1000  # as many different ones as even draws give
+    assert draw((3, 5)).shape == (3, 5)
+    # The old table had 100,000 slots for all 300,001 words.
+    assert (np.diff(sgns.slot_ends(counts**0.75 / (counts**0.75).sum(), sgns.SLOTS), prepend=0) > 0).all()
+
+
+def test_reservoir():
+    assert inspect.signature(stateful.sgns_stream).parameters["reservoir"].default == 100_000_000
+    assert parser().parse_args(["spacesaving-word2vec-train", "a", "b", "-r", "50"]).reservoir == 50

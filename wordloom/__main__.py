@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     add("word2vec-vocab-to-naive-lm", s)
     for name in ("word2vec-train", "word2vec-alias-train"):
         add(name, *training, (("-l", "--lm"), {"dest": "lm", "default": None}), switch("--exact", dest="exact"), number("--epochs", dest="epochs"), parity)
-    add("spacesaving-word2vec-train", *training, number("-t", "--tau", kind=float, dest="tau"))
+    add("spacesaving-word2vec-train", *training, number("-t", "--tau", kind=float, dest="tau"), number("-r", "--reservoir", dest="reservoir"))
     for name in ("word2vec-print", "word2vec-alias-print", "spacesaving-word2vec-print"):
         add(name, switch("-w", "--words", dest="words"), switch("-d", "--dims", dest="dims"))
     return top

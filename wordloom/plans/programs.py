@@ -66,13 +66,13 @@ def word2vec_train(spark, source: str, out: str, vocabulary: int = vocab.VOCABUL
     _report("word2vec-train", total, began)
 
 
-def spacesaving_word2vec_train(spark, source: str, out: str, vocabulary: int = vocab.VOCABULARY, dim: int = sgns.DIM, threshold: float = vocab.THRESHOLD, negatives: int = sgns.NEGATIVES, context: int = sgns.CONTEXT, kappa: float = sgns.KAPPA, tau: float = sgns.TAU) -> None:
+def spacesaving_word2vec_train(spark, source: str, out: str, vocabulary: int = vocab.VOCABULARY, dim: int = sgns.DIM, threshold: float = vocab.THRESHOLD, negatives: int = sgns.NEGATIVES, context: int = sgns.CONTEXT, kappa: float = sgns.KAPPA, tau: float = sgns.TAU, reservoir: int = 100_000_000) -> None:
     """One pass over a folder of text files, as a stream."""
     from ..streaming import stateful
 
     began = time.time()
     lines = spark.readStream.text(source, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    s = stateful.sgns_stream(text.sentences(lines, ["file"]), vocabulary, ["file", "line_no", "chunk"], dim, negatives, context, kappa, tau, threshold)
+    s = stateful.sgns_stream(text.sentences(lines, ["file"]), vocabulary, ["file", "line_no", "chunk"], dim, negatives, context, kappa, tau, threshold, reservoir)
     m = stateful.run_to_end(s, "word2vec")
     models.save(out, {"kind": "space-saving", "capacity": vocabulary, "threshold": threshold, "dim": dim}, vocab=m.select("word_id", "word", "count"), embedding=m.select("word_id", "word", "word_vec"))
     _report("spacesaving-word2vec-train", spark.read.parquet(f"{out}/vocab").agg(F.sum("count")).first()[0] or 0, began)
