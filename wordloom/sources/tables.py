@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in a local session that has none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wordloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -33,6 +35,12 @@ def workspace(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables in the shared folder that nothing reads any more."""
+    for path in paths:
+        _delete(spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Writes ``df`` as Parquet and reads it back: lineage ends at files that every executor can read."""
     df.write.mode("overwrite").parquet(path)
