@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -36,9 +37,14 @@ def workspace(spark: SparkSession, tag: str) -> str:
 
 
 def release(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables in the shared folder that nothing reads any more."""
+    """Deletes tables in the shared folder that nothing reads any more.
+
+    Spark removes the shuffle files of finished queries when its driver collects garbage, so that is asked for, too: else they fill the disks of a long run.
+    """
     for path in paths:
         _delete(spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
