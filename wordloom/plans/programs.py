@@ -6,7 +6,9 @@ with their settings (``sources.models``).
 
 from __future__ import annotations
 
+import contextlib
 import logging
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,26 @@ def _report(name: str, words: int, began: float) -> None:
     log.info("%s: %.1f kwords in %.1f s, %.1f kwords/s", name, words / 1e3, s, words / 1e3 / s)
 
 
+@contextlib.contextmanager
+def _progress(spark: SparkSession, name: str, every: float = 5.0):
+    """Logs the tasks done and running every ``every`` seconds while the block runs."""
+    stop, began = threading.Event(), time.time()
+
+    def tell() -> None:
+        tracker = spark.sparkContext.statusTracker()
+        while not stop.wait(every):
+            stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x]
+            log.info("%s: %.0f s, %d of %d tasks of the stages at work", name, time.time() - began, sum(x.numCompletedTasks for x in stages), sum(x.numTasks for x in stages))
+
+    t = threading.Thread(target=tell, daemon=True)
+    t.start()
+    try:
+        yield
+    finally:
+        stop.set()
+        t.join()
+
+
 def _tokens(spark: SparkSession, source: str, parity: bool) -> DataFrame:
     return text.tokens(text.text_file(spark, source, whole=parity), text.FILE_KEY, drop_unterminated=parity)
 
@@ -51,18 +73,24 @@ def lm_print(spark, model: str, out: str, counts: bool = False) -> None:
     text.write_vocab(models.load(spark, model, "vocab")[1]["vocab"], out, counts)
 
 
-def word2vec_train(spark, source: str, out: str, vocabulary: int = vocab.VOCABULARY, dim: int = sgns.DIM, threshold: float = vocab.THRESHOLD, negatives: int = sgns.NEGATIVES, context: int = sgns.CONTEXT, kappa: float = sgns.KAPPA, lm: str | None = None, noise: str = "discrete", exact: bool = False, epochs: int = 1, parity: bool = False) -> None:
-    """Two passes: the vocabulary (or a given one), then embeddings."""
+def word2vec_train(spark, source: str, out: str, vocabulary: int = vocab.VOCABULARY, dim: int = sgns.DIM, threshold: float = vocab.THRESHOLD, negatives: int = sgns.NEGATIVES, context: int = sgns.CONTEXT, kappa: float = sgns.KAPPA, lm: str | None = None, noise: str = "discrete", exact: bool = False, epochs: int = 1, parity: bool = False, resume: str | None = None) -> None:
+    """Two passes: the vocabulary (or a given one), then embeddings; ``resume``: a model folder whose rows and rates training goes on from."""
     began = time.time()
     x = _tokens(spark, source, parity)
     v = models.load(spark, lm, "vocab")[1]["vocab"] if lm else vocab.exact_lm(x, vocabulary)
     models.save(out, {"kind": "exact", "capacity": vocabulary, "threshold": threshold, "dim": dim}, vocab=v)
     v = spark.read.parquet(f"{out}/vocab")
     total = v.agg(F.sum("count")).first()[0] or 0
-    key = [*text.FILE_KEY, "line_no"]
-    kept = vocab.subsample(x, v, total, [*key, "pos"], threshold, size=None if lm else vocabulary)
-    m = sgns.train(vocab.encode_sentences(kept, key), v, dim, negatives, context, kappa, noise=noise, exact=exact, epochs=epochs, order=tuple(key))
-    m.write.mode("overwrite").parquet(f"{out}/embedding")
+    key = [*text.FILE_KEY, "line_no", "chunk"]
+    if v.count() <= vocab.BROADCAST_WORDS:
+        lines = text.sentences(text.text_file(spark, source, whole=parity), text.FILE_KEY, drop_unterminated=parity)
+        sentences = vocab.encode_in_place(lines, v, key, total, threshold)
+    else:
+        cut = x.withColumn("chunk", F.expr(f"(pos - 1) div {text.SENTENCE_LIMIT}"))
+        sentences = vocab.encode_sentences(vocab.subsample(cut, v, total, [*key, "pos"], threshold, size=None), key)
+    with _progress(spark, "word2vec-train"):
+        m = sgns.train(sentences, v, dim, negatives, context, kappa, noise=noise, exact=exact, epochs=epochs, order=tuple(key), resume=spark.read.parquet(f"{resume}/embedding") if resume else None)
+        m.write.mode("overwrite").parquet(f"{out}/embedding")
     _report("word2vec-train", total, began)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import context, sampling, sgns, similarity, sketch, vocab
 from ..sources import models, text
-from ..sources.tables import table
+from ..sources.tables import table, workspace, written
 
 V, SMALL = vocab.VOCABULARY, 1000
 QUERIES: dict = {}
@@ -57,10 +57,6 @@ def _vocab(spark: SparkSession, d: str, n: int = V) -> DataFrame:
     return vocab.exact_lm(_tokens(spark, d), n)
 
 
-def _rounded(v, digits: int):
-    return F.transform(v, lambda x: F.round(x, digits))
-
-
 # Text
 
 
@@ -161,7 +157,7 @@ def ENC(n: int) -> str:
 
 
 def _encoded(spark, d, n: int = V) -> DataFrame:
-    return vocab.encode_sentences(vocab.in_vocabulary(_tokens(spark, d), _vocab(spark, d, n), n), ["doc_id", "line_no"])
+    return vocab.encode_in_place(text.lines(_docs(spark, d), ["doc_id"]), _vocab(spark, d, n), ["doc_id", "line_no"])
 
 
 def ENC_TEXT(n: int) -> str:
@@ -511,11 +507,23 @@ def spacesaving_streaming(spark, d):
 
 
 def _trained(spark, d, **settings):
-    v = _vocab(spark, d)
+    v = written(_vocab(spark, d), workspace(spark, "vocabulary"))  # counted once: encoding and training read it
     total = v.agg(F.sum("count")).first()[0] or 0
-    kept = vocab.subsample(_tokens(spark, d), v, total, ["doc_id", "line_no", "pos"])
-    sentences = vocab.encode_sentences(kept, ["doc_id", "line_no"])
-    return sgns.train(sentences, v, order=("doc_id", "line_no"), **settings)
+    key = ["doc_id", "line_no", "chunk"]
+    sentences = vocab.encode_in_place(text.sentences(_docs(spark, d), ["doc_id"]), v, key, total, vocab.THRESHOLD)
+    return sgns.train(sentences, v, order=tuple(key), **settings)
+
+
+def CHUNKED(limit: int) -> str:
+    return f"""with {VOC(V)} select doc_id, line_no, (pos - 1) // {limit} chunk, array_to_string(list(word_id order by pos), ' ') ids_text
+from tok join voc on tok.word = voc.word group by all"""
+
+
+@query(CHUNKED(text.SENTENCE_LIMIT))
+def encoded_sentences_chunked(spark, d):
+    """Encoded sentences as training reads them: at most 1,000 words each."""
+    x = vocab.encode_in_place(text.sentences(_docs(spark, d), ["doc_id"]), _vocab(spark, d), ["doc_id", "line_no", "chunk"])
+    return x.select("doc_id", "line_no", "chunk", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids_text"))
 
 
 @query()
