@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ..sources.tables import release, workspace, written
+
+__all__ = ["Memo", "free_name", "make_room", "release", "resident", "slices", "workspace", "written"]
+
+Kept = TypeVar("Kept")
 
 
 class Memo(dict):
@@ -17,7 +22,7 @@ class Memo(dict):
     corpus. Longer keys are computed each time.
     """
 
-    def __init__(self, fn: Callable, limit: int = 600_000, longest: int = 48):
+    def __init__(self, fn: Callable, limit: int = 250_000, longest: int = 48):
         super().__init__()
         self.fn, self.limit, self.longest = fn, limit, longest
 
@@ -30,39 +35,42 @@ class Memo(dict):
         return value
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="wordloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-_made: list[tuple[object, str]] = []
+_resident: dict[tuple, object] = {}
 
 
-def _delete(jvm, conf, path: str) -> None:
-    try:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    except Exception:  # the session may have ended already; the folder is then left to its owner
-        pass
-
-
-def workspace(spark: SparkSession, tag: str) -> str:
-    """A new folder for one run of an operator, in the shared folder; deleted when the driver ends."""
-    path = f"{shared_root(spark)}/wordloom/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
-    return path
+def resident(key: tuple, make: Callable[[], Kept]) -> Kept:
+    """What a Python worker keeps from task to task: one thing at a time.
 
+    Workers outlive an operator, so what the last one kept (tokenizers, memos) goes when the next one begins.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` as Parquet and reads it back: lineage ends at files that every executor can read."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def slices(batches, rows: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most ``rows`` rows, as documents can be long.
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch, since documents can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    Spark bounds its own batches by bytes; no session setting is touched.
+    """
+    for b in batches:
+        for first in range(0, b.num_rows, rows):
+            yield b.slice(first, rows)
+
+
+def free_name(name: str, taken) -> str:
+    """``name``, with underscores before it until no column has it (names of columns don't mind case)."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def make_room(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` without columns of these names, and the new names of those it had: they get underscores before them."""
+    moved: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            moved[c] = free_name(c, [*df.columns, *moved.values(), *names])
+    return df.withColumnsRenamed(moved), moved

@@ -12,12 +12,13 @@ Decoding. One byte blob holds every token's bytes, one table holds the offsets;
 
 Defined cases: null text encodes as the empty text (no ids); added tokens (as ``<|endoftext|>``) that occur in
 a text become their id, as in the library's default; ids that don't form UTF-8 decode with U+FFFD; ties don't arise (BPE is a
-function of the text); other columns pass through, but for clashing output names, which are refused.
+function of the text), and repeated rows get equal ids; a text of any length is encoded whole, a task holding its ids; an empty table gives no rows; other
+columns pass through, and one named as the result gets underscores before its name. A vocabulary with another way of pre-tokenisation, a normaliser or
+a model other than byte-level BPE is refused (``ValueError``).
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Memo, arrow_rows
+from ._common import Memo, make_room, resident, slices
 
 # Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,9 +48,12 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one vocabulary file (``tokenizers`` JSON, byte-level BPE)."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer") or spec["model"]["type"] != "BPE":
+            raise ValueError("not a vocabulary of plain byte-level BPE")
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocab, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ", 1) for m in spec["model"]["merges"]]
@@ -105,7 +109,7 @@ class Codec:
                 a, bound = inner_a, a
             else:
                 b, bound = inner_b, b + 1
-        if len(self.pairs) >= 1_000_000:
+        if len(self.pairs) >= 500_000:
             self.pairs.clear()
         self.pairs[left, right] = out
         return out
@@ -173,22 +177,20 @@ class Codec:
         return self.blob[at].tobytes().decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     """One codec, with its memos, for each Python worker."""
-    return Codec(path)
+    return resident(("codec", path), lambda: Codec(path))
 
 
 def _mapped(df: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa.DataType, make, rows: int) -> DataFrame:
     if source not in df.columns:
         raise ValueError(f"no column {source}")
-    if name in df.columns:
-        raise ValueError(f"column {name} exists already")
-    arrow_rows(df.sparkSession, rows)
+    df, moved = make_room(df, name)
+    source = moved.get(source, source)
 
     def run(batches):
         f = make()
-        for b in batches:
+        for b in slices(batches, rows):
             values = pa.array(map(f, b.column(source).to_pylist()), arrow)
             yield pa.RecordBatch.from_arrays([*b.columns, values], names=[*b.schema.names, name])
 

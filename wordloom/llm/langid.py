@@ -2,14 +2,14 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a word is the sum over
 all its segmentations into pieces, computed by a forward algorithm; a text's score for a language is the sum of its words' log
-probabilities. The piece probabilities are fitted by expectation-maximisation (forward-backward expected counts) on word
-counts of a bounded sample of labelled documents: about ``per_language`` documents of each language, the ``max_types`` most
-frequent word types of each. Prediction reads every whole text in one pass; the forward algorithm runs over all new words of a batch
-at once, and words met before are looked up.
-
-Defined cases: null text, or text without a letter, is ``und`` with score 0; ties go to the language first in order; words of over
-``LONGEST`` letters are scored in segments of that length; equal texts get equal results; other columns pass through; a
-table without labelled texts makes fitting fail with ``ValueError``.
+probabilities. The piece probabilities are fitted by expectation-maximisation (forward-backward expected counts) on the word
+counts of a bounded sample of labelled documents: about ``per_language`` documents of each language, chosen by a hash. Prediction reads every whole
+text in one pass; the forward algorithm runs over all new words of a batch at once, and words met before are looked up. Long words go
+through the same recursion with rescaled or logarithmic probabilities, a stretch at a time, so no word is cut.
+
+Defined cases: null text, or text without a letter, is ``und`` with score 0; ties go to the language first in order; words and texts may have any length;
+equal texts get equal results, repeated rows too; without any labelled text (an empty table, say) the model knows no language and every text is
+``und`` with score 0; an empty table gives no rows; other columns pass through, and those named as one of the results get underscores before their names.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from ._common import arrow_rows
+from ._common import make_room, resident, slices
 
 UNDETERMINED = "und"
 MARK = "▁"  # word start, as in the vocabulary
-LONGEST, LONGEST_PIECE = 32, 12
+#: Letters up to which probabilities are held as they are; beyond, they are rescaled, or held as logarithms.
+PLAIN = 32
+#: Letters of a long word that are looked up at a time.
+STRETCH = 4096
 #: Probability of a letter, or of a piece in a language, that was never seen.
 FLOOR = 1e-8
 LETTERS = regex.compile(r"\p{L}+")
@@ -50,7 +52,7 @@ def pieces_of(path: str) -> tuple[str, ...]:
     for i in range(model.get_piece_size()):
         p = model.id_to_piece(i).lower()
         body = p.removeprefix(MARK)
-        if len(p) <= LONGEST_PIECE and (body.isalpha() or p == MARK):
+        if body.isalpha() or p == MARK:
             out.add(p)
     return tuple(sorted(out))
 
@@ -61,6 +63,7 @@ class Trie:
     def __init__(self, pieces: tuple[str, ...]):
         nodes: dict[tuple[int, int], int] = {}
         ends: dict[int, int] = {}
+        self.depth = max(map(len, pieces), default=1)
         for i, p in enumerate(pieces):
             at = 0
             for c in p:
@@ -76,7 +79,7 @@ class Trie:
         """Piece of each (word, start, length - 1), or -1; words have one length."""
         n, width = len(words), len(words[0])
         letters = np.array([list(map(ord, w)) for w in words], dtype=np.int64)
-        depth = min(width, LONGEST_PIECE)
+        depth = min(width, self.depth)
         out = np.full((n, width, depth), -1, dtype=np.int64)
         row, start = np.divmod(np.arange(n * width), width)
         node = np.zeros(n * width, dtype=np.int64)
@@ -115,6 +118,51 @@ def forward(spans: np.ndarray, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_long(trie: Trie, word: str, p: np.ndarray) -> np.ndarray:
+    """log P(word) in each language for a word of any length: the same recursion, rescaled at each letter, a stretch of letters at a time."""
+    depth, scale = trie.depth, np.zeros(p.shape[1])
+    held = np.zeros((depth, p.shape[1]))  # the last alphas, the latest first
+    held[0] = 1
+    recent = np.full((depth, depth), -1)  # pieces that start at the last letters, the latest first
+    each = np.arange(depth)
+    for first in range(0, len(word), STRETCH):
+        spans = trie.spans([word[first : first + STRETCH + depth - 1]])[0]
+        for row in spans[: min(STRETCH, len(word) - first)]:
+            recent[1:] = recent[:-1]
+            recent[0, : len(row)], recent[0, len(row) :] = row, -1
+            q = p[recent[each, each]]
+            q[0] = np.maximum(q[0], FLOOR)
+            alpha = (held * q).sum(axis=0)
+            held[1:] = held[:-1]
+            held[0] = alpha
+            held /= alpha
+            scale += np.log(alpha)
+    return scale
+
+
+def expected_long(spans: np.ndarray, p: np.ndarray, weight: float) -> np.ndarray:
+    """``expected`` for one long word, with logarithms."""
+    width, depth = spans.shape
+    with np.errstate(divide="ignore"):
+        logs = np.log(p[spans, 0])
+    steps = logs.copy()
+    steps[:, 0] = np.maximum(steps[:, 0], np.log(FLOOR))
+    alpha, beta = np.full(width + 1, -np.inf), np.full(width + 1, -np.inf)
+    alpha[0] = beta[width] = 0
+    for end in range(1, width + 1):
+        k = np.arange(min(depth, end))
+        alpha[end] = np.logaddexp.reduce(alpha[end - k - 1] + steps[end - k - 1, k])
+    for start in range(width - 1, -1, -1):
+        k = np.arange(min(depth, width - start))
+        beta[start] = np.logaddexp.reduce(beta[start + k + 1] + steps[start, k])
+    counts = np.zeros(len(p))
+    for start in range(width):
+        k = np.arange(min(depth, width - start))
+        np.add.at(counts, spans[start, k], weight * np.exp(alpha[start] + logs[start, k] + beta[start + k + 1] - alpha[width]))
+    counts[-1] = 0
+    return counts
+
+
 def expected(spans: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected counts of pieces under one language's ``p`` (pieces + 1, 1)."""
     n, width, depth = spans.shape
@@ -152,53 +200,48 @@ class Model:
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """log P(word | language) of each word."""
-        cut = [w if i else MARK + w for word in words for i, w in enumerate(word[k : k + LONGEST] for k in range(0, len(word), LONGEST))]
-        owner = np.repeat(np.arange(len(words)), [-(-len(w) // LONGEST) for w in words])
-        logs = np.zeros((len(cut), len(self.languages)))
-        for own in by_length(cut).values():
+        units, logs = [MARK + w for w in words], np.zeros((len(words), len(self.languages)))
+        for width, own in by_length(units).items():
+            if width > PLAIN:
+                for i in own:
+                    logs[i] = log_long(self.trie, units[i], self.p)
+                continue
             for k in range(0, len(own), 4096):
                 some = own[k : k + 4096]
-                logs[some] = np.log(forward(self.trie.spans([cut[i] for i in some]), self.p)[-1])
-        if len(cut) == len(words):
-            return logs
-        out = np.zeros((len(words), len(self.languages)))
-        np.add.at(out, owner, logs)
-        return out
+                logs[some] = np.log(forward(self.trie.spans([units[i] for i in some]), self.p)[-1])
+        return logs
 
 
 def fit_counts(counts: dict[str, dict[str, int]], pieces: tuple[str, ...], rounds: int = 3) -> Model:
     """A model from word counts of each language."""
-    if not counts:
-        raise ValueError("no labelled texts to learn from")
     trie, languages = Trie(pieces), sorted(counts)
-    columns = []
+    columns = [np.zeros((len(pieces) + 1, 0))]
     for language in languages:
         words = sorted(counts[language])
-        units, weight = [(MARK + w)[: LONGEST + 1] for w in words], np.array([counts[language][w] for w in words], dtype=float)
-        groups = [(np.array(own), trie.spans([units[i] for i in own])) for own in by_length(units).values()]
+        units, weight = [MARK + w for w in words], np.array([counts[language][w] for w in words], dtype=float)
+        groups = [(np.array(own), trie.spans([units[i] for i in own])) for width, own in by_length(units).items() if width <= PLAIN]
+        long = [(i, trie.spans([u])[0]) for i, u in enumerate(units) if len(u) > PLAIN]
         p = np.full((len(pieces) + 1, 1), 1.0 / len(pieces))
         p[-1] = 0
         for _ in range(rounds):
-            c = sum(expected(spans, p, weight[own]) for own, spans in groups)
+            c = sum([*(expected(spans, p, weight[own]) for own, spans in groups), *(expected_long(spans, p, weight[i]) for i, spans in long)], np.zeros(len(p)))
             p = np.maximum(c / max(c.sum(), 1e-300), FLOOR)[:, None]
             p[-1] = 0
         columns.append(p)
     return Model(languages, pieces, np.concatenate(columns, axis=1))
 
 
-def fit(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 500, max_types: int = 20_000) -> Model:
-    """Fits a model on about ``per_language`` labelled rows of each language, chosen by a hash of ``key``."""
+def fit(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 500) -> Model:
+    """Fits a model on about ``per_language`` labelled rows of each language, chosen by a hash of ``key``; their words, counted, go to the driver."""
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language, as the model has
     if not sizes:
-        raise ValueError("no labelled texts to learn from")
+        return fit_counts({}, pieces_of(vocabulary))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     sample = rows.where(F.col("h") < share[F.col("lang")] * (1 << 20))
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).where(F.char_length("word") <= LONGEST)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("r", rank).where(F.col("r") <= max_types)
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts: dict[str, dict[str, int]] = {}
-    for r in top.select("lang", "word", "n").collect():  # at most max_types for each language
+    for r in words.groupBy("lang", "word").agg(F.count("*").alias("n")).collect():  # bounded by the sample
         counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
     return fit_counts(counts, pieces_of(vocabulary))
 
@@ -206,7 +249,7 @@ def fit(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang",
 class Scorer:
     """Scores texts with one model; remembers words."""
 
-    def __init__(self, model: Model, limit: int = 600_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.limit = model, limit
         self.at: dict[str, int] = {}
         self.table = np.zeros((1 << 16, len(model.languages)))
@@ -223,7 +266,7 @@ class Scorer:
             self.at.update(zip(new, range(first, first + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [words_of(t) for t in texts]
+        split = [words_of(t) if self.model.languages else [] for t in texts]
         self.learn({w for ws in split for w in ws})
         langs, scores = [], []
         for ws in split:
@@ -238,31 +281,17 @@ class Scorer:
         return langs, scores
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer_of(token: str, shared) -> Scorer:
-    """A worker's scorer for one broadcast model; it outlives the task."""
-    if token not in _scorers:
-        _scorers.clear()
-        _scorers[token] = Scorer(shared.value)
-    return _scorers[token]
-
-
 def predict(df: DataFrame, model: Model, text: str = "text", rows: int = 512) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (the language's posterior probability)."""
-    for name in ("lang_pred", "score"):
-        if name in df.columns:
-            raise ValueError(f"column {name} exists already")
-    spark = df.sparkSession
-    arrow_rows(spark, rows)
+    df, moved = make_room(df, "lang_pred", "score")
+    text, spark = moved.get(text, text), df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # as large as the vocabulary
 
     token = uuid.uuid4().hex
 
     def run(batches):
-        scorer = scorer_of(token, shared)
-        for b in batches:
+        scorer = resident(("scorer", token), lambda: Scorer(shared.value))
+        for b in slices(batches, rows):
             langs, scores = scorer.predict(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 

@@ -13,13 +13,12 @@ Every tier is a power of two and every window leaves full, so nothing is padded.
 partition ends leave as sequences of falling powers of two. There is no shuffle: ids never leave the task, the
 buffer is bounded, and a lost task repeats to the same rows (sequence ids derive from the partition and a counter).
 
-Defined cases: null or empty text gives the end id alone; a text of any length is cut; repeated rows are packed each;
-an empty table gives no rows; columns other than the two named don't matter.
+Defined cases: null or empty text gives the end id alone; a text of any length is cut; repeated rows are packed each; pieces of equal length go
+in order of arrival; ids may be null, and of any type; an empty table gives no rows; columns other than the two named don't matter.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from bisect import bisect_left, bisect_right, insort
@@ -31,8 +30,9 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import Memo, arrow_rows
+from ._common import Memo, resident, slices
 from .bpe import byte_letters
 
 SCHEMA = T.StructType([
@@ -51,7 +51,7 @@ class WordTokenizer:
     Texts with ``ODD`` characters or what may be an added token go to the library whole.
     """
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -82,9 +82,8 @@ class WordTokenizer:
         return b"".join(map(self.memo.__getitem__, text.lower().split()))
 
 
-@functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return resident(("word tokenizer", path), lambda: WordTokenizer(path))
 
 
 class Packer:
@@ -178,7 +177,8 @@ def pack(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "te
     ``ids`` holds the piece's ids (packed little-endian unsigned 32-bit), ``tier`` the length of its sequence,
     ``step_group`` the group of sequences it trains with. ``buffer_tokens`` bounds what a task holds.
     """
-    arrow_rows(df.sparkSession, rows)
+    schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), *SCHEMA.fields[1:]])
+    own_kind = to_arrow_type(schema["doc_id"].dataType)
 
     def run(batches):
         encode, end = tokenizer(vocabulary), np.array([end_id], dtype="<u4").tobytes()
@@ -201,12 +201,12 @@ def pack(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "te
                 counts[0] += 1
             counts[1] += max(groups, default=-1) + 1
             done.clear()
-            kinds = [pa.int64()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
+            kinds = [own_kind] + [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
             for i in range(0, len(cols[0]), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], k) for c, k in zip(cols, kinds, strict=True)], names=SCHEMA.names)
 
         held = 0
-        for b in batches:
+        for b in slices(batches, rows):
             for own, body in zip(b.column(doc_id).to_pylist(), b.column(text).to_pylist(), strict=True):
                 ids = encode(body) + end
                 docs[counts[2]] = (own, ids)
@@ -223,4 +223,4 @@ def pack(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "te
         packer.finish()
         yield from rows_of()
 
-    return df.select(doc_id, text).mapInArrow(run, SCHEMA)
+    return df.select(doc_id, text).mapInArrow(run, schema)
