@@ -3,8 +3,12 @@
 A payload fills the red, green and blue samples of rows of ``ROW`` bytes; its length is a multiple of that. An image has as
 many columns as keep its height in the format's bound, the rest of its last row is padding that reading drops.
 
-Defined cases: null text is empty; every text is padded with bytes 255 up to a positive multiple of ``ROW``; equal texts give equal
-media and features; an empty table gives no rows; other columns pass through.
+Each image is written with the transforms, colour cache and back-references that ``webp.encode_best`` estimates to be the shortest.
+
+Defined cases: null text is empty; every text is padded with bytes 255 up to a positive multiple of ``ROW``; equal texts, repeated rows too, give equal
+media and features; a text of any length up to the format's bound (85 by 16,384 rows of 576 bytes, 802 MB; beyond, ``ValueError``) is one image, for which
+a task holds some 20 times its bytes; an empty table gives no rows; other columns pass through, and those named as one of the results get
+underscores before their names.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import webp
-from ._common import arrow_rows
+from ._common import make_room, slices
 
 ROW = 576
 
@@ -38,38 +42,35 @@ def to_payload(px: np.ndarray, size: int) -> bytes:
 
 def describe(payload: bytes) -> str:
     """A feature of the samples: mean of each channel, and a 16-bit sign pattern of a 4 x 4 thumbnail against its mean."""
-    a = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 3)
-    sums = a.sum(axis=0, dtype=np.int64)
-    cells = np.array([int(x.sum(dtype=np.int64)) * 1000 // max(1, x.size) for x in np.array_split(a.ravel(), 16)])
+    a = np.frombuffer(payload, dtype=np.uint8)
+    n, more = divmod(len(a), 16)
+    edges = np.arange(16) * n + np.minimum(np.arange(16), more)
+    cells = np.add.reduceat(a, edges, dtype=np.int64) * 1000 // np.diff(edges, append=len(a))
     bits = "".join("1" if c * 16 > cells.sum() else "0" for c in cells)
-    return "-".join(f"{int(s) * 1000 // len(a):06d}" for s in sums) + f"-{int(bits, 2):04x}"
+    return "-".join(f"{int(a[k::3].sum(dtype=np.int64)) * 1000 // (len(a) // 3):06d}" for k in range(3)) + f"-{int(bits, 2):04x}"
 
 
 def store(df: DataFrame, text: str = "text", into: str = "media", rows: int = 1024) -> DataFrame:
     """``df`` with ``into`` (the WebP file of the padded UTF-8 text, binary) and ``n_bytes`` (unpadded)."""
-    for name in (into, "n_bytes"):
-        if name in df.columns:
-            raise ValueError(f"column {name} exists already")
-    arrow_rows(df.sparkSession, rows)
+    df, moved = make_room(df, into, "n_bytes")
+    text = moved.get(text, text)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, rows):
             texts = [(t or "").encode() for t in b.column(text).to_pylist()]
-            files = pa.array([webp.encode(to_pixels(padded(t))) for t in texts], pa.binary())
+            files = pa.array([webp.encode_best(to_pixels(padded(t))) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, files, pa.array(map(len, texts), pa.int64())], names=[*b.schema.names, into, "n_bytes"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.BinaryType()), T.StructField("n_bytes", T.LongType())]))
 
 
-def load(df: DataFrame, media: str = "media", n_bytes: str = "n_bytes", pixel_bytes: int = 8 << 20, rows: int = 1024) -> DataFrame:
+def load(df: DataFrame, media: str = "media", n_bytes: str = "n_bytes", pixel_bytes: int = 8 << 20, rows: int = 2048) -> DataFrame:
     """``df`` with ``payload`` (the padded bytes, decoded) and ``feature``; images go together up to ``pixel_bytes`` of media."""
-    for name in ("payload", "feature"):
-        if name in df.columns:
-            raise ValueError(f"column {name} exists already")
-    arrow_rows(df.sparkSession, rows)
+    df, moved = make_room(df, "payload", "feature")
+    media, n_bytes = moved.get(media, media), moved.get(n_bytes, n_bytes)
 
     def run(batches):
-        for whole in batches:
+        for whole in slices(batches, rows):
             sizes = whole.column(n_bytes).to_pylist()
             first = 0
             while first < len(sizes):

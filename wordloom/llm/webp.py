@@ -2,15 +2,18 @@
 
 The scalar decoder reads everything the format has: simple and normal prefix codes, entropy images, back-references with the
 near-distance map, colour caches, and the predictor, cross-colour, subtract-green and palette transforms, whose inverses
-are applied in reverse order. The encoder writes length-limited canonical prefix codes and, where asked, each transform, a
-colour cache and back-references. Images of literals with one code group (what the encoder writes by default) can be
-decoded together: each numpy step reads one symbol of every image that still has some.
+are applied in reverse order. The encoder writes length-limited canonical prefix codes, back-references, a colour cache and each transform
+where asked; ``encode_best`` asks for those that make an image smaller by an estimate of its bits. Images with one code group (what the
+encoder writes) are decoded together: each numpy step gives one pixel of every image that still has some, be it a literal, from the cache,
+or part of a copy.
 
-Pixels are unsigned 32-bit ARGB numbers in an array of (height, width).
+Pixels are unsigned 32-bit ARGB numbers in an array of (height, width). Bits are packed some thousand codes at a time, so memory is a small
+multiple of the pixels.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 
 import numpy as np
@@ -30,8 +33,10 @@ NEAR = (
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS, GREEN, PALETTE = 0, 1, 2, 3
 MAX_SIDE = 1 << 14
-#: Longest code the encoder makes for literals; a decoding table has 2 ** LIMIT entries.
-LIMIT = 10
+#: Longest codes the encoder makes: for green, with lengths and cache entries, and for other symbols. A decoding table has 2 ** limit entries.
+GREEN_LIMIT, LIMIT = 12, 10
+#: Code lengths that the encoder gives to code lengths (0 to 12, and runs of zeros, 17 and 18): a complete code near their usual counts.
+OWN_LENGTHS = tuple({5: 3, 6: 3, 7: 3, 8: 3, 17: 3, 18: 4, 4: 4, 9: 4, 10: 4, 0: 5, 3: 5, 1: 6, 2: 6, 11: 6, 12: 6}.get(i, 0) for i in range(19))
 
 
 def _reversed15() -> np.ndarray:
@@ -100,10 +105,12 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 
 
 class Writer:
-    """Bits, least significant first."""
+    """Bits, least significant first, packed ``SOME`` codes at a time."""
+
+    SOME = 1 << 15
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.out, self.carry, self.filled = bytearray(), 0, 0
         self.values: list[int] = []
         self.sizes: list[int] = []
 
@@ -112,15 +119,42 @@ class Writer:
         self.sizes.append(bits)
 
     def many(self, values: np.ndarray, bits: np.ndarray) -> None:
-        self.parts += [(np.array(self.values, dtype=np.int64), np.array(self.sizes, dtype=np.int64)), (values, bits)]
-        self.values, self.sizes = [], []
+        if self.values:
+            v, n, self.values, self.sizes = np.array(self.values, dtype=np.int64), np.array(self.sizes, dtype=np.int64), [], []
+            self.many(v, n)
+        for k in range(0, len(values), self.SOME):
+            self._pack(values[k : k + self.SOME], bits[k : k + self.SOME])
+
+    def _pack(self, values: np.ndarray, bits: np.ndarray) -> None:
+        ends = np.cumsum(bits)
+        start, total = ends - bits + self.filled, int(ends[-1]) + self.filled
+        at, moved = start >> 5, values.astype(np.uint64) << (start & 31).astype(np.uint64)
+        # Codes don't overlap, so sums within a word are exact.
+        size = (total >> 5) + 2
+        words = np.bincount(at, weights=moved & np.uint64(0xFFFFFFFF), minlength=size) + np.bincount(at + 1, weights=moved >> np.uint64(32), minlength=size)
+        words[0] += self.carry
+        data = words.astype("<u4").tobytes()
+        self.out += data[: total >> 3]
+        self.carry, self.filled = data[total >> 3], total & 7
 
     def bytes(self) -> bytes:
         self.many(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        v, n = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
-        return np.packbits(((np.repeat(v, n) >> at) & 1).astype(np.uint8), bitorder="little").tobytes()
+        return bytes(self.out) + (bytes([self.carry]) if self.filled else b"")
+
+
+OWN_CODES = canonical(np.array(OWN_LENGTHS)).tolist()
+
+
+def _zeros(g: int) -> tuple[int, int, int]:
+    """(symbols, their bits as a number, how many bits) of a run of ``g`` zero lengths."""
+    if g < 3:
+        return g, sum(OWN_CODES[0] << (k * OWN_LENGTHS[0]) for k in range(g)), g * OWN_LENGTHS[0]
+    s, extra, n = (17, g - 3, 3) if g < 11 else (18, g - 11, 7)
+    return 1, OWN_CODES[s] | extra << OWN_LENGTHS[s], OWN_LENGTHS[s] + n
+
+
+#: Of runs of up to 138 zeros.
+ZEROS = np.array([_zeros(g) for g in range(139)]).T
 
 
 def write_code(w: Writer, lengths: np.ndarray) -> None:
@@ -133,43 +167,30 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
         w.put(int(symbol > 1), 1)
         w.put(symbol, 8 if symbol > 1 else 1)
         return
-    last = int(used[-1]) + 1
-    ls = lengths[:last].tolist()
-    # Runs of zeros by 17 and 18, lengths as they are.
-    symbols: list[tuple[int, int, int]] = []
-    i = 0
-    while i < last:
-        if ls[i]:
-            symbols.append((ls[i], 0, 0))
-            i += 1
-            continue
-        j = i
-        while j < last and not ls[j] and j - i < 138:
-            j += 1
-        run = j - i
-        symbols += [(18, run - 11, 7)] if run >= 11 else [(17, run - 3, 3)] if run >= 3 else [(0, 0, 0)] * run
-        i = j
-    counts = np.bincount([s for s, _, _ in symbols], minlength=19)
-    own = code_lengths(counts, 7)
-    if len(np.flatnonzero(own)) == 1:  # a lone code length symbol takes no bits, yet has a length
-        own[np.flatnonzero(own)] = 1
-    codes, own, lone = canonical(own).tolist(), own.tolist(), len(np.flatnonzero(own)) == 1
-    w.put(0, 1)
-    n = max(i + 1 for i, s in enumerate(LENGTH_ORDER) if own[s])
-    n = max(n, 4)
-    w.put(n - 4, 4)
-    for s in LENGTH_ORDER[:n]:
-        w.put(own[s], 3)
-    w.put(1, 1)  # number of code length symbols that follow
-    bits = max(2, (len(symbols) - 2).bit_length())
+    n = max(i + 1 for i, s in enumerate(LENGTH_ORDER) if OWN_LENGTHS[s])
+    w.values += [0, n - 4]
+    w.sizes += [1, 4]
+    w.values += [OWN_LENGTHS[s] for s in LENGTH_ORDER[:n]]
+    w.sizes += [3] * n
+    # Before each symbol the zeros, by runs of 17 and 18, then its own length: one number for both.
+    gap = used.copy()
+    gap[1:] -= used[:-1] + 1
+    whole = np.maximum(gap - 1, 0) // 138
+    count, value, size = ZEROS[:, gap - 138 * whole]
+    own = lengths[used]
+    symbols = int(count.sum() + whole.sum()) + len(used)
+    bits = max(2, (max(2, symbols) - 2).bit_length())
     bits += bits % 2
-    w.put((bits - 2) // 2, 3)
-    w.put(max(0, len(symbols) - 2), bits)
-    for s, extra, size in symbols + [(0, 0, 0)] * (2 - len(symbols)):
-        if not lone:
-            w.put(codes[s], own[s])
-        if size:
-            w.put(extra, size)
+    w.values += [1, (bits - 2) // 2, max(2, symbols) - 2]  # number of code length symbols that follow
+    w.sizes += [1, 3, bits]
+    values, sizes = (value | np.array(OWN_CODES)[own] << size).tolist(), (size + np.array(OWN_LENGTHS)[own]).tolist()
+    if whole.any():  # runs of more than 138 zeros, one after another
+        for i in np.flatnonzero(whole)[::-1].tolist():
+            values[i:i], sizes[i:i] = [int(ZEROS[1, 138])] * int(whole[i]), [int(ZEROS[2, 138])] * int(whole[i])
+    w.values += values
+    w.sizes += sizes
+    if symbols < 2:
+        w.put(OWN_CODES[0], OWN_LENGTHS[0])
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
@@ -182,83 +203,143 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * top + second, v & ((1 << (top - 1)) - 1), top - 1
 
 
-def cache_index(argb: int, bits: int) -> int:
-    return ((CACHE_FACTOR * argb) & 0xFFFFFFFF) >> (32 - bits)
+#: The farthest and the longest that a back-reference reaches, and the pixels from which it is worth its bits.
+FAR, LONGEST, SHORTEST = (1 << 20) - 120, 4096, 4
+
+
+def find_matches(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of repeats in a flat image, in order, none overlapping: runs of pixels whose last equal four lie equally far back."""
+    n = len(px)
+    if n < 2 * SHORTEST:
+        return []
+    key = px[: n - 3].astype(np.uint64)
+    for k in (1, 2, 3):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + px[k : n - 3 + k]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    at, back = order[same + 1], order[same]
+    true = at - back <= FAR
+    for k in range(4):
+        true &= px[at + k] == px[back + k]
+    at, back = at[true], back[true]
+    if not len(at):
+        return []
+    order = np.argsort(at)
+    at, far = at[order], (at - back)[order]
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] - at[:-1] != 1) | (far[1:] != far[:-1])]))
+    out, done, ends = [], 0, np.append(first[1:], len(at))
+    for start, run, d in zip(at[first].tolist(), (ends - first).tolist(), far[first].tolist(), strict=True):
+        end = start + run + 3
+        start = max(start, done)
+        while end - start >= SHORTEST:
+            length = min(LONGEST, end - start)
+            out.append((start, length, d))
+            start = done = start + length
+    return out
+
+
+def cache_hits(px: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cache entry of each pixel, whether it holds the pixel by then)."""
+    at = (px * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - bits)
+    order = np.argsort(at, kind="stable")
+    hit = np.zeros(len(px), dtype=bool)
+    hit[order[1:]] = (at[order[1:]] == at[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+    return at, hit
+
+
+def entropy(counts: np.ndarray) -> float:
+    """Bits that symbols with these counts take, their code aside."""
+    c = counts[counts > 0]
+    if len(c) < 2:
+        return 0.0
+    n = int(c.sum())
+    return float(n * np.log2(n) - c @ np.log2(c))
+
 
+class Tokens:
+    """A flat image as literals, cache entries and back-references."""
 
-def _write_image(w: Writer, px: np.ndarray, main: bool, cache_bits: int = 0, matches: bool = False, width: int = 0) -> None:
+    def __init__(self, px: np.ndarray, cache_bits: int, matches: list[tuple[int, int, int]], width: int):
+        self.px, self.cache_bits = px, cache_bits
+        own, self.literal = np.ones(len(px), dtype=bool), np.ones(len(px), dtype=bool)
+        for start, length, _ in matches:
+            own[start + 1 : start + length] = False
+            self.literal[start : start + length] = False
+        self.green = (px >> np.uint32(8) & np.uint32(255)).astype(np.int16)
+        if cache_bits:
+            at, hit = cache_hits(px, cache_bits)
+            hit &= self.literal
+            self.green[hit] = 280 + at[hit]
+            self.literal &= ~hit
+        self.matches = [(*prefix_of(length), *prefix_of(1 if d == width else 2 if d == 1 else d + 120)) for _, length, d in matches]
+        starts = [m[0] for m in matches]
+        self.green[starts] = [256 + m[0] for m in self.matches]
+        self.at = np.flatnonzero(own)  # the pixel at which each token begins
+        size = 280 + (1 << cache_bits if cache_bits else 0)
+        shown = px[self.literal]
+        channels = shown.astype("<u4").view(np.uint8).reshape(-1, 4)
+        self.counts = [np.bincount(self.green[self.at], minlength=size)]
+        self.counts += [np.bincount(channels[:, k], minlength=256) for k in (2, 0, 3)]
+        self.counts.append(np.bincount([m[3] for m in self.matches], minlength=40))
+        # Red and blue of a text are alike: one code for both is made, told and read once.
+        both = self.counts[1] + self.counts[2]
+        if entropy(both) <= 1.02 * (entropy(self.counts[1]) + entropy(self.counts[2])) + 128:
+            self.counts[1] = self.counts[2] = both
+
+    def bits(self) -> float:
+        """About how many bits the image takes."""
+        told = sum(7 * n + 30 for n in map(np.count_nonzero, self.counts) if n > 1)
+        red_blue = entropy(self.counts[1]) if self.counts[1] is self.counts[2] else entropy(self.counts[1]) + entropy(self.counts[2])
+        return told + red_blue + sum(entropy(self.counts[k]) for k in (0, 3, 4)) + sum(m[2] + m[5] for m in self.matches)
+
+    def write(self, w: Writer) -> None:
+        codes = []
+        for k, counts in enumerate(self.counts):
+            if k == 2 and counts is self.counts[1]:
+                w.values += told[0]
+                w.sizes += told[1]
+                codes.append(codes[1])
+                continue
+            lengths, told = code_lengths(counts, LIMIT if k else GREEN_LIMIT), (w.values, w.sizes)
+            w.values, w.sizes = [], []
+            write_code(w, lengths)
+            told, w.values, w.sizes = (w.values, w.sizes), told[0] + w.values, told[1] + w.sizes
+            codes.append((canonical(lengths), lengths) if np.count_nonzero(lengths) > 1 else (np.zeros_like(lengths),) * 2)
+        # Two numbers a token: what green, red and blue say, or a length; then alpha, or a distance. Mostly the second is empty for all.
+        done, step = 0, Writer.SOME // 2
+        both = bool(self.matches) or bool(codes[3][1].any())
+        for k in range(0, len(self.at), step):
+            at = self.at[k : k + step]
+            symbol = self.green[at]
+            value, size = np.zeros((len(at), 1 + both), dtype=np.int64), np.zeros((len(at), 1 + both), dtype=np.int64)
+            first, bits = codes[0][0][symbol], codes[0][1][symbol]
+            literal = np.flatnonzero(self.literal[at])
+            shown = self.px[at[literal]].astype("<u4").view(np.uint8).reshape(-1, 4)
+            for slot, c in ((1, shown[:, 2]), (2, shown[:, 0])):
+                first[literal] |= codes[slot][0][c] << bits[literal]
+                bits[literal] += codes[slot][1][c]
+            if codes[3][1].any():
+                value[literal, 1], size[literal, 1] = codes[3][0][shown[:, 3]], codes[3][1][shown[:, 3]]
+            if self.matches:
+                for i in np.flatnonzero((symbol >= 256) & (symbol < 280)).tolist():
+                    _, extra, n, prefix, far_extra, far_n = self.matches[done]
+                    first[i] |= extra << int(bits[i])
+                    bits[i] += n
+                    value[i, 1], size[i, 1] = int(codes[4][0][prefix]) | far_extra << int(codes[4][1][prefix]), codes[4][1][prefix] + far_n
+                    done += 1
+            value[:, 0], size[:, 0] = first, bits
+            w.many(value.ravel(), size.ravel())
+
+
+def _write_image(w: Writer, px: np.ndarray | Tokens, main: bool, cache_bits: int = 0, matches: bool = False, width: int = 0) -> None:
     """Colour cache, code group and entropy-coded pixels of a flat image."""
-    w.put(int(cache_bits > 0), 1)
-    if cache_bits:
-        w.put(cache_bits, 4)
+    t = px if isinstance(px, Tokens) else Tokens(px.astype(np.uint32), cache_bits, find_matches(px.astype(np.uint32)) if matches else [], width)
+    w.put(int(t.cache_bits > 0), 1)
+    if t.cache_bits:
+        w.put(t.cache_bits, 4)
     if main:
         w.put(0, 1)  # one code group
-    px = px.astype(np.uint32)
-    if not cache_bits and not matches:
-        channels = [(px >> s & 255).astype(np.int64) for s in (8, 16, 0, 24)]
-        used = []
-        for k, c in enumerate(channels):
-            lengths = code_lengths(np.bincount(c, minlength=280 if k == 0 else 256))
-            write_code(w, lengths)
-            used.append((canonical(lengths), lengths if (lengths > 0).sum() > 1 else np.zeros_like(lengths)))
-        write_code(w, np.zeros(40, dtype=np.int64))
-        w.many(np.stack([codes[c] for c, (codes, _) in zip(channels, used, strict=True)], axis=1).ravel(), np.stack([n[c] for c, (_, n) in zip(channels, used, strict=True)], axis=1).ravel())
-        return
-    # Greedy: the longest run that repeats the pixel before, or the row above; then the cache; then a literal.
-    values, out, i, cache = px.tolist(), [], 0, [0] * (1 << cache_bits)
-    while i < len(values):
-        best, back = 0, 0
-        if matches:
-            for d in {1, width}:
-                j = i
-                while d <= i and j < len(values) and j - i < 4096 and values[j] == values[j - d]:
-                    j += 1
-                if j - i > best:
-                    best, back = j - i, d
-        take = 1
-        if best >= 3:
-            code = 1 if back == width else 2 if back == 1 else back + 120
-            out.append(("m", best, code))
-            take = best
-        elif cache_bits and cache[cache_index(values[i], cache_bits)] == values[i]:
-            out.append(("c", cache_index(values[i], cache_bits), 0))
-        else:
-            out.append(("l", values[i], 0))
-        if cache_bits:
-            for v in values[i : i + take]:
-                cache[cache_index(v, cache_bits)] = v
-        i += take
-    streams: list[list[int]] = [[], [], [], [], []]
-    for kind, a, b in out:
-        if kind == "l":
-            for k, s in enumerate((8, 16, 0, 24)):
-                streams[k].append(a >> s & 255)
-        elif kind == "c":
-            streams[0].append(280 + a)
-        else:
-            streams[0].append(256 + prefix_of(a)[0])
-            streams[4].append(prefix_of(b)[0])
-    codes = []
-    for k, s in enumerate(streams):
-        size = 280 + (1 << cache_bits if cache_bits else 0) if k == 0 else 40 if k == 4 else 256
-        lengths = code_lengths(np.bincount(s, minlength=size) if s else np.zeros(size, dtype=np.int64), 15)
-        write_code(w, lengths)
-        lone = (lengths > 0).sum() <= 1
-        codes.append((canonical(lengths), np.zeros_like(lengths) if lone else lengths))
-    put = lambda k, s: w.put(int(codes[k][0][s]), int(codes[k][1][s]))
-    for kind, a, b in out:
-        if kind == "l":
-            for k, s in enumerate((8, 16, 0, 24)):
-                put(k, a >> s & 255)
-        elif kind == "c":
-            put(0, 280 + a)
-        else:
-            p, extra, n = prefix_of(a)
-            put(0, 256 + p)
-            w.put(extra, n)
-            p, extra, n = prefix_of(b)
-            put(4, p)
-            w.put(extra, n)
+    t.write(w)
 
 
 def split_channels(px: np.ndarray) -> list[np.ndarray]:
@@ -348,8 +429,75 @@ def packed_width(width: int, colours: int) -> tuple[int, int]:
     return -(-width // (1 << bits)), bits
 
 
-def encode(px: np.ndarray, transforms: tuple = (), cache_bits: int = 0, matches: bool = False) -> bytes:
-    """A WebP file. transforms, in order: ``("green",)``, ``("predictor", bits, modes)``, ``("cross", bits, elements)``, ``("palette",)``."""
+def indexed(px: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(colours, the image of their bundled indices) of the palette transform."""
+    colours, index = np.unique(px, return_inverse=True)
+    narrow, bits = packed_width(px.shape[1], len(colours))
+    index = np.pad(index.reshape(px.shape), ((0, 0), (0, narrow * (1 << bits) - px.shape[1]))).astype(np.int64)
+    size = 8 >> bits
+    g = sum(index[:, k :: 1 << bits] << (k * size) for k in range(1 << bits))
+    return colours, joined(np.full_like(g, 255), 0 * g, g, 0 * g)
+
+
+def smooth(px: np.ndarray) -> bool:
+    """Whether neighbours are near in value, as in pictures, so that predictions can pay; texts are not."""
+    some = px[:8]
+    return some.size > 16 and float(np.mean([np.abs(np.diff(c, axis=1)).mean() if c.shape[1] > 1 else 255.0 for c in split_channels(some)[1:]])) < 12
+
+
+def predicted(px: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
+    """Transforms to try on a smooth image, with the pixels they leave: left or top as prediction, each with and without one cross-colour element."""
+    out = []
+    for mode in (1, 2):
+        before = np.zeros_like(px)
+        before[:, 1:], before[1:, 0] = px[:, :-1], px[:-1, 0]
+        if mode == 2:
+            before[1:, 1:] = px[:-1, 1:]
+        before[0, 0] = 0xFF000000
+        left = joined(*[c - d for c, d in zip(split_channels(px), split_channels(before), strict=True)])
+        side = tuple(-(-n // 512) for n in px.shape)
+        t = (("predictor", 9, np.full(side, mode)),)
+        out.append((t, left))
+        _, r, g, b = (_signed(c) for c in split_channels(left))
+        slope = lambda c, g=g: int(np.clip(np.rint(32 * float((c * g).sum()) / max(1.0, float((g * g).sum()))), -128, 127)) & 255
+        element = np.full(side, slope(b) << 8 | slope(r), dtype=np.uint32)
+        if element.any():
+            out.append(((*t, ("cross", 9, element)), _cross(left, element, 9, -1)))
+    return out
+
+
+#: Literals from which a cache is tried, and pixels up to which a palette is: below and above they don't pay.
+CACHED, COLOURED = 1024, 1024
+
+
+def encode_best(px: np.ndarray) -> bytes:
+    """A WebP file with the transforms, cache and back-references that take the fewest bits, as far as an estimate from symbol counts says."""
+    px = np.ascontiguousarray(px, dtype=np.uint32)
+    flat, width = px.ravel(), px.shape[1]
+    matches = find_matches(flat)
+    tried: list[tuple[float, tuple, Tokens]] = []
+
+    def consider(transforms: tuple, flat: np.ndarray, matches: list, width: int, more: float = 0.0) -> None:
+        t = Tokens(flat, 0, matches, width)
+        tried.append((more, transforms, t))
+        if np.count_nonzero(t.literal) >= CACHED:
+            tried.append((more, transforms, Tokens(flat, min(10, len(flat).bit_length() - 2), matches, width)))
+
+    consider((), flat, matches, width)
+    if len(flat) <= COLOURED and 4 * len(set(flat.tolist())) <= len(flat):
+        colours, index = indexed(px)
+        if len(colours) <= 256:
+            table = Tokens(joined(*[np.diff(c, prepend=0) for c in split_channels(colours)]), 0, [], 0)
+            consider((("palette",),), index.ravel(), find_matches(index.ravel()), index.shape[1], table.bits())
+    if smooth(px):
+        for transforms, left in predicted(px):
+            consider(transforms, left.ravel(), find_matches(left.ravel()), width, 60.0 * len(transforms))
+    _, transforms, tokens = min(tried, key=lambda x: x[0] + x[2].bits()) if len(tried) > 1 else tried[0]
+    return encode(px, transforms, tokens=tokens)
+
+
+def encode(px: np.ndarray, transforms: tuple = (), cache_bits: int = 0, matches: bool = False, tokens: Tokens | None = None) -> bytes:
+    """A WebP file; ``tokens``: the transformed pixels' tokens, where they are known. transforms, in order: ``("green",)``, ``("predictor", bits, modes)``, ``("cross", bits, elements)``, ``("palette",)``."""
     h, width = px.shape
     if not (0 < h <= MAX_SIDE and 0 < width <= MAX_SIDE):
         raise ValueError("a side must be from 1 to 16384")
@@ -374,18 +522,14 @@ def encode(px: np.ndarray, transforms: tuple = (), cache_bits: int = 0, matches:
             _write_image(w, data.ravel(), False)
             px = (_predictor if name == "predictor" else _cross)(px, data, bits, -1)
         else:
-            colours, index = np.unique(px, return_inverse=True)
+            colours, px = indexed(px)
+            if len(colours) > 256:
+                raise ValueError("a palette has at most 256 colours")
             w.put(PALETTE, 2)
             w.put(len(colours) - 1, 8)
-            parts = split_channels(colours)
-            _write_image(w, joined(*[np.diff(c, prepend=0) for c in parts]), False)
-            narrow, bits = packed_width(px.shape[1], len(colours))
-            index = np.pad(index.reshape(px.shape), ((0, 0), (0, narrow * (1 << bits) - px.shape[1]))).astype(np.int64)
-            size = 8 >> bits
-            g = sum(index[:, k :: 1 << bits] << (k * size) for k in range(1 << bits))
-            px = joined(np.full_like(g, 255), 0 * g, g, 0 * g)
+            _write_image(w, joined(*[np.diff(c, prepend=0) for c in split_channels(colours)]), False)
     w.put(0, 1)
-    _write_image(w, px.ravel(), True, cache_bits, matches, px.shape[1])
+    _write_image(w, tokens or px.ravel(), True, cache_bits, matches, px.shape[1])
     data = w.bytes()
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
@@ -402,6 +546,9 @@ class Reader:
         self.pos += n
         return int.from_bytes(self.data[at : at + 5], "little") >> off & ((1 << n) - 1)
 
+    def peek(self, pos: int, n: int) -> int:
+        return int.from_bytes(self.data[pos >> 3 : (pos + n + 7) >> 3], "little") >> (pos & 7) & ((1 << n) - 1)
+
     def symbol(self, table: tuple[list, int]) -> int:
         entries, n = table
         at = self.pos >> 3
@@ -410,8 +557,14 @@ class Reader:
         return e >> 4
 
 
+@functools.lru_cache(maxsize=256)
+def _own_table(lengths: tuple[int, ...]) -> tuple[list[int], int]:
+    table, n = table_of(np.array(lengths))
+    return table.tolist(), n
+
+
 def read_lengths(r: Reader, size: int) -> np.ndarray:
-    """Code lengths of one prefix code; -1 stands nowhere."""
+    """Code lengths of one prefix code; a symbol that stands nowhere has 0."""
     out = np.zeros(size, dtype=np.int64)
     if r.bits(1):
         two = r.bits(1)
@@ -419,33 +572,57 @@ def read_lengths(r: Reader, size: int) -> np.ndarray:
         if two:
             out[r.bits(8)] = 1
         return out
-    own = np.zeros(19, dtype=np.int64)
+    own = [0] * 19
     for s in LENGTH_ORDER[: 4 + r.bits(4)]:
         own[s] = r.bits(3)
-    table, n = table_of(own)
-    code = (table.tolist(), n)
+    entries, n = _own_table(tuple(own))
     left = size
     if r.bits(1):
         left = 2 + r.bits(2 + 2 * r.bits(3))
-    i, last = 0, 8
+    i, last, mask, pos, data, at, found, take = 0, 8, (1 << n) - 1, r.pos, r.data, [], [], int.from_bytes
     while i < size and left:
         left -= 1
-        s = r.symbol(code)
+        v = take(data[pos >> 3 : (pos >> 3) + 4], "little") >> (pos & 7)
+        e = entries[v & mask]
+        v >>= e & 15
+        pos += e & 15
+        s = e >> 4
         if s < 16:
-            out[i] = s
+            if s:
+                at.append(i)
+                found.append(s)
+                last = s
             i += 1
-            last = s or last
         elif s == 16:
-            k = 3 + r.bits(2)
-            out[i : i + k] = last
+            k = 3 + (v & 3)
+            pos += 2
+            at += range(i, min(size, i + k))
+            found += [last] * (min(size, i + k) - i)
             i += k
+        elif s == 17:
+            i += 3 + (v & 7)
+            pos += 3
         else:
-            i += 3 + r.bits(3) if s == 17 else 11 + r.bits(7)
+            i += 11 + (v & 127)
+            pos += 7
+    r.pos = pos
+    out[at] = found
     return out
 
 
-def _read_group(r: Reader, cache_bits: int) -> list[np.ndarray]:
-    return [read_lengths(r, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
+def _read_tables(r: Reader, cache_bits: int) -> list[tuple[np.ndarray, int]]:
+    """Decoding tables of one code group; a code told in the same bits as the one before is not read again."""
+    out, bits, told = [], 0, -1
+    for size in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40):
+        if size == 256 and told >= 0 and r.peek(r.pos, bits) == told:
+            r.pos += bits
+            out.append(out[-1])
+            continue
+        start = r.pos
+        out.append(table_of(read_lengths(r, size)))
+        bits = r.pos - start
+        told = r.peek(start, bits) if size == 256 else -1
+    return out
 
 
 def _read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
@@ -456,37 +633,64 @@ def _read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         side = -(-width // (1 << meta_bits)), -(-height // (1 << meta_bits))
         meta = (_read_image(r, *side, False) >> 8 & 0xFFFF).tolist()
         groups_n = max(map(max, meta)) + 1
-    groups = [[(t.tolist(), n) for t, n in map(table_of, _read_group(r, cache_bits))] for _ in range(groups_n)]
+    groups = [[(t.tolist(), n) for t, n in _read_tables(r, cache_bits)] for _ in range(groups_n)]
     return _pixels(r, width, height, groups, meta, meta_bits, cache_bits)
 
 
-def _pixels(r: Reader, width: int, height: int, groups: list, meta, meta_bits: int, cache_bits: int) -> np.ndarray:
-    total, out, cache, group, symbol = width * height, [], [0] * (1 << cache_bits), groups[0], r.symbol
+def _distance(d: int, width: int) -> int:
+    """Pixels back that a distance code means."""
+    if d > 120:
+        return d - 120
+    x, y = NEAR[d - 1]
+    return max(1, x + y * width)
+
+
+def _pixels(r: Reader, width: int, height: int, groups: list, meta, meta_bits: int, cache_bits: int, out: list | None = None, cache: list | None = None, copy: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """The scalar walk; ``out``, ``cache`` and ``copy`` (pixels left, distance) are what is known of an image that was begun."""
+    total, out, cache = width * height, out or [], cache or [0] * (1 << cache_bits)
+    data, pos, take, group, shift = r.data, r.pos, int.from_bytes, groups[0], 32 - cache_bits
+    length, d = copy
+    (tg, ng), (tr, nr), (tb, nb), (ta, na), _ = group
     while len(out) < total:
         i = len(out)
-        if meta is not None:
-            group = groups[meta[i // width >> meta_bits][i % width >> meta_bits]]
-        s = symbol(group[0])
-        if s < 256:
-            red, blue = symbol(group[1]), symbol(group[2])
-            out.append(symbol(group[3]) << 24 | red << 16 | s << 8 | blue)
-        elif s < 280:
-            length = _value(r, s - 256)
-            d = _value(r, symbol(group[4]))
-            if d > 120:
-                d -= 120
+        if not length:
+            if meta is not None:
+                group = groups[meta[i // width >> meta_bits][i % width >> meta_bits]]
+                (tg, ng), (tr, nr), (tb, nb), (ta, na), _ = group
+            at = pos >> 3
+            v = take(data[at : at + 9], "little") >> (pos & 7)  # four codes of at most 15 bits
+            e = tg[v & ((1 << ng) - 1)]
+            v >>= e & 15
+            pos += e & 15
+            s = e >> 4
+            if s < 256:
+                red = tr[v & ((1 << nr) - 1)]
+                v >>= red & 15
+                blue = tb[v & ((1 << nb) - 1)]
+                v >>= blue & 15
+                alpha = ta[v & ((1 << na) - 1)]
+                pos += (red & 15) + (blue & 15) + (alpha & 15)
+                out.append((alpha >> 4) << 24 | (red >> 4) << 16 | s << 8 | blue >> 4)
+            elif s < 280:
+                r.pos = pos
+                length = _value(r, s - 256)
+                d = _distance(_value(r, r.symbol(group[4])), width)
+                pos = r.pos
+                if d > i:
+                    raise ValueError("a back-reference before the image")
             else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
-            if d > i:
-                raise ValueError("a back-reference before the image")
-            for _ in range(min(length, total - i)):
-                out.append(out[-d])
-        else:
-            out.append(cache[s - 280])
+                out.append(cache[s - 280])
+        if length:
+            length = min(length, total - i)
+            if d >= length:
+                out += out[i - d : i - d + length]
+            else:  # a copy that reads what it writes: a pattern of d pixels
+                out += (out[i - d :] * (length // d + 1))[:length]
+            length = 0
         if cache_bits:
             for v in out[i:]:
-                cache[cache_index(v, cache_bits)] = v
+                cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
+    r.pos = pos
     return np.array(out, dtype=np.uint32).reshape(height, width)
 
 
@@ -547,109 +751,128 @@ def decode(data: bytes) -> np.ndarray:
     return undo(_read_image(r, w, h, True), transforms)
 
 
-def decode_many(files: list[bytes], few: int = 12) -> list[np.ndarray]:
-    """Pixels of each file; images of literals with one code group go in lockstep while more than ``few`` are open."""
+def decode_many(files: list[bytes], few: int = 40) -> list[np.ndarray]:
+    """Pixels of each file; images with one code group go in lockstep while more than ``few`` are open."""
     out: list = [None] * len(files)
     lanes = []
     for i, f in enumerate(files):
         r, w, h, transforms = header(f)
         start = r.pos
-        if not r.bits(1) and not r.bits(1):
-            lengths = _read_group(r, 0)
-            if not lengths[0][256:].any():
-                lanes.append((w * h, i, r, w, h, transforms, [table_of(x) for x in lengths[:4]]))
-                continue
-        r.pos = start
-        out[i] = undo(_read_image(r, w, h, True), transforms)
+        cache_bits = r.bits(4) if r.bits(1) else 0
+        if r.bits(1):
+            r.pos = start
+            out[i] = undo(_read_image(r, w, h, True), transforms)
+        else:
+            lanes.append((w * h, i, r, w, h, transforms, _read_tables(r, cache_bits), cache_bits))
     lanes.sort(key=lambda x: (-x[0], x[1]))
     for lane, px in zip(lanes, _lockstep(lanes, few), strict=True):
         out[lane[1]] = undo(px.reshape(lane[4], lane[3]), lane[5])
     return out
 
 
+class _Streams:
+    """The bits and tables of many images in flat arrays."""
+
+    def __init__(self, lanes: list):
+        self.starts = np.cumsum([0, *(len(x[2].data) for x in lanes[:-1])])
+        raw = np.frombuffer(b"".join(x[2].data for x in lanes) + bytes(8), dtype=np.uint8).astype(np.uint32)
+        self.window = raw.copy()  # 32 bits at every byte
+        for k in (1, 2, 3):
+            self.window[:-k] |= raw[k:] << np.uint32(8 * k)
+        self.pos = self.starts * 8 + np.array([x[2].pos for x in lanes])
+        tables = [[x[6][k] for x in lanes] for k in range(5)]
+        sizes = np.array([[len(t) for t, _ in own] for own in tables])
+        self.base = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
+        self.mask = np.array([[(1 << n) - 1 for _, n in own] for own in tables], dtype=np.uint32)
+        self.flat = np.concatenate([t for own in tables for t, _ in own]).astype(np.int32)
+
+    def read(self, k: int, at, p):
+        """Entry of code ``k`` of images ``at`` at bits ``p``."""
+        return self.flat[self.base[k][at] + ((self.window[p >> 3] >> (p & 7).astype(np.uint32)) & self.mask[k][at])]
+
+    def value(self, prefix: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Lengths or distances that prefixes and the bits after them mean; ``p`` moves on."""
+        extra = np.maximum(0, (prefix - 2) >> 1)
+        bits = (self.window[p >> 3] >> (p & 7).astype(np.uint32)).astype(np.int64) & ((1 << extra) - 1)
+        p += extra
+        return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + bits) + 1
+
+
 def _lockstep(lanes: list, few: int) -> list[np.ndarray]:
     """Flat pixels of the lanes, which come longest first."""
     if not lanes:
         return []
-    sizes = np.array([x[0] for x in lanes])
-    px = [np.zeros(n, dtype=np.uint32) for n in sizes]
-    # All streams in one buffer; a window of 32 bits at every byte.
-    starts = np.cumsum([0, *(len(x[2].data) for x in lanes[:-1])])
-    raw = np.frombuffer(b"".join(x[2].data for x in lanes), dtype=np.uint8).astype(np.uint32)
-    window = raw.copy()
-    for k in (1, 2, 3):
-        window[:-k] |= raw[k:] << np.uint32(8 * k)
-    pos = starts * 8 + np.array([x[2].pos for x in lanes])
-    tables, base, mask = [], [], []
-    at = 0
-    for k in range(4):
-        b, m = [], []
-        for x in lanes:
-            t, bits = x[6][k]
-            tables.append(t)
-            b.append(at)
-            m.append((1 << bits) - 1)
-            at += len(t)
-        base.append(np.array(b))
-        mask.append(np.array(m, dtype=np.uint32))
-    flat = np.concatenate(tables).astype(np.int32)
-    shifts = (8, 16, 0, 24)
-    alike = [bool((m == 0).all()) for m in mask]
-    block = 512
+    sizes, widths, st = np.array([x[0] for x in lanes]), np.array([x[3] for x in lanes]), _Streams(lanes)
+    first = np.cumsum(sizes) - sizes
+    px = np.zeros(int(sizes.sum()), dtype=np.uint32)
+    near = np.array([(0, 0), *NEAR])
+    cached = np.array([x[7] for x in lanes])
+    room = np.where(cached > 0, 1 << cached, 0)
+    cache, cache_at, shift = np.zeros(int(room.sum()) + 1, dtype=np.uint32), np.cumsum(room) - room, (32 - cached).astype(np.uint32)
+    left, far = np.zeros(len(lanes), dtype=np.int64), np.zeros(len(lanes), dtype=np.int64)
+    alone = [bool((m == 0).all()) for m in st.mask[:4]]
     done = 0
-    n_open = len(lanes)
     while done < sizes[0]:
-        n_open = int(np.searchsorted(-sizes, -done, side="left"))
-        if n_open <= few:
+        n = int(np.searchsorted(-sizes, -done, side="left"))
+        if n <= few:
             break
-        steps = int(min(block, sizes[n_open - 1] - done))
-        p, got = pos[:n_open].copy(), np.zeros((steps, n_open), dtype=np.uint32)
-        bs, ms = [b[:n_open] for b in base], [m[:n_open] for m in mask]
-        fixed = np.zeros(n_open, dtype=np.uint32)
-        live = []
-        for k in range(4):
-            if alike[k]:
-                fixed |= (flat[bs[k]] >> 4).astype(np.uint32) << np.uint32(shifts[k])
+        steps, own = int(sizes[n - 1] - done), slice(0, n)
+        p, copying, at, holds = st.pos[:n].copy(), left[:n], first[:n], np.flatnonzero(cached[:n])
+        fixed, live = np.zeros(n, dtype=np.uint32), []
+        for k, s in ((1, 16), (2, 0), (3, 24)):
+            if alone[k]:
+                fixed |= (st.flat[st.base[k][own]] >> 4).astype(np.uint32) << np.uint32(s)
             else:
-                live.append((bs[k], ms[k], np.uint32(shifts[k])))
-        for s in range(steps):
-            row = fixed.copy()
-            for b, m, shift in live:
-                e = flat[b + ((window[p >> 3] >> (p & 7).astype(np.uint32)) & m)]
+                live.append((k, np.uint32(s)))
+        busy = bool(copying.any())
+        for step in range(done, done + steps):
+            e = st.read(0, own, p)
+            symbol = e >> 4
+            odd = np.flatnonzero((symbol > 255) | (copying > 0) if busy else symbol > 255)
+            before, row = p[odd], fixed | symbol.astype(np.uint32) << np.uint32(8)
+            p += e & 15
+            for k, s in live:
+                e = st.read(k, own, p)
                 p += e & 15
-                row |= (e >> 4).astype(np.uint32) << shift
-            got[s] = row
-        pos[:n_open] = p
-        columns = np.ascontiguousarray(got.T)
-        for i in range(n_open):
-            px[i][done : done + steps] = columns[i]
+                row |= (e >> 4).astype(np.uint32) << s
+            if len(odd):  # not a literal: the bits after green were not the pixel's
+                new = copying[odd] == 0
+                p[odd] = before
+                fresh, s = odd[new], symbol[odd[new]]
+                q = p[fresh] + (st.read(0, fresh, p[fresh]) & 15)
+                hit = s >= 280
+                row[fresh[hit]] = cache[cache_at[fresh[hit]] + s[hit] - 280]
+                ref = fresh[~hit]
+                if len(ref):
+                    b = q[~hit]
+                    copying[ref] = st.value(s[~hit].astype(np.int64) - 256, b)
+                    e = st.read(4, ref, b)
+                    b += e & 15
+                    d = st.value((e >> 4).astype(np.int64), b)
+                    x, y = near[np.minimum(d, 120)].T
+                    far[ref] = np.where(d > 120, d - 120, np.maximum(1, x + y * widths[ref]))
+                    if (far[ref] > step).any():
+                        raise ValueError("a back-reference before the image")
+                    q[~hit] = b
+                p[fresh] = q
+                repeat = odd[copying[odd] > 0]
+                row[repeat] = px[at[repeat] + step - far[repeat]]
+                copying[repeat] -= 1
+                busy = bool((copying[repeat] > 0).any())
+            else:
+                busy = False
+            px[at + step] = row
+            if len(holds):
+                v = row[holds]
+                cache[cache_at[holds] + ((v * np.uint32(CACHE_FACTOR)) >> shift[holds])] = v
+        st.pos[:n] = p
         done += steps
-    for i in range(min(n_open, len(lanes))):
-        if done < sizes[i]:
-            r = lanes[i][2]
-            r.pos = int(pos[i] - starts[i] * 8)
-            group = [(t.tolist(), n) for t, n in lanes[i][6]]
-            px[i][done:] = _literals(r, int(sizes[i] - done), group)
-    return px
-
-
-def _literals(r: Reader, n: int, group: list) -> np.ndarray:
-    """The scalar walk over literals of one code group."""
-    (tg, ng), (tr, nr), (tb, nb), (ta, na) = group
-    mg, mr, mb, ma = (1 << ng) - 1, (1 << nr) - 1, (1 << nb) - 1, (1 << na) - 1
-    data, pos, out = r.data, r.pos, []
-    take = int.from_bytes
-    for _ in range(n):
-        at = pos >> 3
-        v = take(data[at : at + 8], "little") >> (pos & 7)  # four codes of at most 14 bits
-        g = tg[v & mg]
-        v >>= g & 15
-        d = tr[v & mr]
-        v >>= d & 15
-        b = tb[v & mb]
-        v >>= b & 15
-        a = ta[v & ma]
-        pos += (g & 15) + (d & 15) + (b & 15) + (a & 15)
-        out.append((a >> 4) << 24 | (d >> 4) << 16 | (g >> 4) << 8 | b >> 4)
-    r.pos = pos
-    return np.array(out, dtype=np.uint32)
+    out = [px[a : a + n] for a, n in zip(first, sizes, strict=True)]
+    for i in range(len(lanes)):
+        if done >= sizes[i]:
+            break
+        _, _, r, w, h, _, tables, bits = lanes[i]
+        r.pos = int(st.pos[i] - st.starts[i] * 8)
+        held = cache[cache_at[i] : cache_at[i] + (1 << bits)].tolist() if bits else None
+        out[i] = _pixels(r, w, h, [[(t.tolist(), n) for t, n in tables]], None, 0, bits, out[i][:done].tolist(), held, (int(left[i]), int(far[i]))).ravel()
+    return out
