@@ -1,82 +1,59 @@
 """URL filter: rules for hosts and paths first, logistic regression on hashed character n-grams for the rest.
 
 The regression reads n-grams of the host and of the path, each in its own hash space, and is trained on the driver from a
-small labelled URL table (``LABELLED`` unless another is given; its size is the caller's bound). Urls are judged with one
-pass and no shuffle.
+small labelled URL table (``labelled()`` unless another is given; its size is the caller's bound, and memory is in proportion to its
+letters). Urls are judged with one pass and no shuffle; n-grams of a batch are hashed and weighed together, and only those of urls that no rule decides.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the model (its bias);
-equal urls get equal verdicts; an empty table gives no rows; other columns pass through.
+Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the model; equal urls get equal
+verdicts; a url of any length is read whole; ``block_score`` is null where a rule decides; without any labelled url every score is 0; an empty
+table gives no rows; other columns pass through, and those named as one of the results get underscores before their names.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import free_name, make_room
 from .line_dedup import ascii_lower
 
 ALLOW, BLOCK = "allow", "block"
 
-# The default labelled URL table.
-LABELLED = """
-allow https://docs.example.net/guide/install
-allow https://www.library.example.net/articles/history-of-printing
-allow https://news.example.com/science/2023/comet-returns
-allow https://blog.example.net/posts/how-to-bake-bread
-allow http://university.example.net/courses/algebra/lecture-4
-allow https://wiki.example.com/Mountain_range
-allow https://health.example.com/conditions/asthma/overview
-allow https://museum.example.net/collections/ceramics
-allow https://recipes.example.com/soups/lentil
-allow https://weather.example.net/forecast/coast
-allow https://journal.example.com/volume-12/issue-3/abstract
-allow https://gardening.example.net/seasons/spring-planting
-allow https://travel.example.com/guides/islands/ferries
-allow https://forum.example.net/topic/4821/reading-list
-allow https://code.example.com/projects/parser/readme
-allow https://archive.example.net/letters/1871/04
-allow https://school.example.com/handbook/timetable
-allow https://city.example.net/council/minutes/2022
-allow https://music.example.com/reviews/string-quartet
-allow https://books.example.net/catalogue/poetry
-allow https://radio.example.com/programmes/evening-talk
-allow https://maps.example.net/walks/river-path
-allow https://cycling.example.com/routes/hills
-allow https://chess.example.net/openings/english
-block https://casino-bonus.example.com/free-spins/win-now
-block http://cheap-pills.example.net/buy/no-prescription
-block https://xxx-cams.example.com/live/adult
-block https://best-payday-loan.example.net/apply/instant-cash
-block http://replica-watches.example.com/sale/discount
-block https://free-download-crack.example.net/keygen/serial
-block https://slots.example.com/jackpot/bet
-block http://adult-dating.example.net/hot/singles
-block https://click-ads.example.com/redirect?aff=119
-block https://torrent.example.net/download/movie-hd-free
-block http://win-prize.example.com/claim/lottery
-block https://poker-bet.example.net/casino/bonus
-block https://sexy-cams.example.com/xxx/live
-block http://pharma-discount.example.net/viagra/cheap
-block https://spam-links.example.com/seo/buy-backlinks
-block https://crypto-double.example.net/invest/instant-profit
-block http://weight-loss-miracle.example.com/buy/pills
-block https://fake-id.example.net/order/passport
-block https://hacked-accounts.example.com/buy/cheap
-block https://popup-ads.example.net/click/win
-block https://betting-tips.example.com/jackpot/odds
-block https://escort.example.net/adult/city
-block http://warez.example.com/crack/download
-block https://instant-loan.example.net/cash/no-credit
-"""
-
-
-def labelled(table: str = LABELLED) -> list[tuple[str, str]]:
-    """(verdict, url) of each line."""
-    return [tuple(line.split(" ", 1)) for line in table.strip().splitlines()]
+# Words of the labelled table; the table itself is made by the rule in ``labelled``.
+SPAM_HOSTS = """
+casino poker slots jackpot betting bets roulette lottery bingo gamble pills pharma viagra tablets diet slim adult xxx porn cams escort
+hookup singles sexy loan payday cash debt forex crypto doubler replica fake cheap discount bonus prize win winner free spam seo backlinks
+links farm ads advert track tracker click popup banner redirect torrent warez crack keygen serial hacked phish malware
+""".split()
+SPAM_PATHS = "buy-now claim-prize free-spins no-prescription instant-cash win-big hot-singles live-cams get-rich download-crack click-here limited-offer".split()
+PLAIN_HOSTS = """
+docs library news blog university wiki health museum recipes weather journal garden travel forum code archive school city music books
+radio maps cycling chess science history geography theatre gallery kitchen harbour valley mountain river forest island bakery village
+railway bridge castle market weaver potter carpenter teacher student doctor nurse engineer painter writer reader singer runner swimmer
+anderson martinez schneider rossi dubois novak silva tanaka okafor larsen thornton whitfield bretton eastern northern southern western
+theory thread threshold station nation motion question creation tradition another weather whether together further within without
+english polish spanish fresh wish bush marsh table cable stable noble fable format habitat combat wheat great coast forest artist honest post
+student talent ancient moment giant plant garden wooden golden silver timber winter summer corner border letter paper water morning evening
+building reading spring string bread field cloud sound ground south north mouth month truth health earth cloth moth fifth math bath path
+""".split()
+PLAIN_PATHS = "guide/install articles/printing science/comet posts/bread courses/algebra topics/reading reviews/quartet notes/evening about contact index/letters".split()
+FRONTS, ENDS, LANGS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org"), ("en", "de", "fr", "es")
+
+
+def labelled() -> list[tuple[str, str]]:
+    """(verdict, url) of the default table: words in pairs as hosts, with paths that say nothing (a language and a number) or something."""
+    out = []
+    for verdict, words, paths in ((BLOCK, SPAM_HOSTS, SPAM_PATHS), (ALLOW, PLAIN_HOSTS, PLAIN_PATHS)):
+        for i, w in enumerate(words):
+            for j in range(4):
+                other = words[(i + 7 * j + 3) % len(words)]
+                name = (f"{w}-{other}", w, f"{w}{other}", f"{other}{i}")[j] if verdict == ALLOW else (f"{w}-{other}", f"{other}-{w}", f"{w}{other}", f"{w}{i}")[j]
+                plain = f"{LANGS[(i + j) % 4]}/{(i * 397 + j * 1013) % 9000 + 1000}{('', '/', '.html')[(i + j) % 3]}"
+                path = plain if j % 2 == 0 else paths[(i + j) % len(paths)]
+                out.append((verdict, f"https://{FRONTS[(i + j) % 4]}{name}.{ENDS[(i + j) % 3]}/{path}"))
+    return out
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -106,49 +83,77 @@ def rule_columns(rules: list[tuple[str, str]], host: Column, path: Column) -> tu
     return rule, verdict
 
 
+#: Factor of the n-gram hash and the shift that mixes it.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Model:
     """Logistic regression on hashed character n-grams; full-batch gradient descent with L2, from zero: no chance in it."""
 
-    def __init__(self, table: list[tuple[str, str]], bits: int = 14, sizes: tuple[int, ...] = (3, 4, 5), rounds: int = 300, rate: float = 2.0, l2: float = 1e-3):
-        self.mask, self.sizes = (1 << bits) - 1, sizes
-        self.weights, self.bias = np.zeros(1 << bits), 0.0
-        rows = [self.features(*split_url(u)) for _, u in table]
-        y = np.array([float(v == BLOCK) for v, _ in table])
-        x = np.zeros((len(rows), 1 << bits))
-        for i, r in enumerate(rows):
-            np.add.at(x[i], r, 1.0 / max(1, len(r)) ** 0.5)
+    def __init__(self, table: list[tuple[str, str]], bits: int = 18, sizes: tuple[int, ...] = (3, 4, 5), rounds: int = 400, rate: float = 4.0, l2: float = 1e-4):
+        self.bits, self.sizes = bits, sizes
+        self.weights, self.bias = np.zeros(1 << bits), 0.0 if table else -np.inf
+        if not table:
+            return
+        row, gram = self.grams(*zip(*(split_url(u) for _, u in table), strict=True))
+        used, column = np.unique(gram, return_inverse=True)
+        n, y = len(table), np.array([float(v == BLOCK) for v, _ in table])
+        share = (1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=n))))[row]
+        # Both verdicts weigh the same, however many urls have each.
+        w, evenly = np.zeros(len(used)), np.where(y > 0, 0.5 * n / max(1, y.sum()), 0.5 * n / max(1, n - y.sum()))
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-(x @ self.weights + self.bias)))
-            self.weights -= rate * (x.T @ (p - y) / len(y) + l2 * self.weights)
-            self.bias -= rate * float((p - y).mean())
-
-    def features(self, host: str, path: str) -> np.ndarray:
-        out = []
-        for space, s in ((b"h", f"^{host}$"), (b"p", f"^{path}$")):
-            b = s.encode()
-            for n in self.sizes:
-                out += [zlib.crc32(space + b[i : i + n]) & self.mask for i in range(len(b) - n + 1)]
-        return np.array(out, dtype=np.int64)
-
-    def score(self, host: str, path: str) -> float:
-        f = self.features(host, path)
-        return float(1 / (1 + np.exp(-(self.weights[f].sum() / max(1, len(f)) ** 0.5 + self.bias))))
+            off = evenly * (1 / (1 + np.exp(-(np.bincount(row, weights=w[column] * share, minlength=n) + self.bias))) - y)
+            w -= rate * (np.bincount(column, weights=off[row] * share, minlength=len(used)) / n + l2 * w)
+            self.bias -= rate * float(off.mean())
+        self.weights[used] = w
+
+    def grams(self, hosts, paths) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hashed n-gram) of all n-grams of urls, host and path in hash spaces of their own, with marks at their ends."""
+        rows, grams = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for space, parts in enumerate((hosts, paths)):
+            data = [f"^{s}$".encode() for s in parts]
+            b = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+            size = np.array([len(d) for d in data], dtype=np.int64)
+            owner, left = np.repeat(np.arange(len(data)), size), np.repeat(np.cumsum(size), size) - np.arange(len(b))
+            h = np.full(len(b), np.uint64(space))
+            for n in range(1, max(self.sizes) + 1):
+                if len(b) < n:
+                    break
+                h = (h[: len(b) - n + 1] ^ b[n - 1 :]) * FACTOR
+                h ^= h >> np.uint64(29)
+                if n in self.sizes:
+                    inside = left[: len(h)] >= n
+                    rows.append(owner[: len(h)][inside])
+                    grams.append(((h[inside] * FACTOR) >> np.uint64(64 - self.bits)).astype(np.int64))
+        return np.concatenate(rows), np.concatenate(grams)
+
+    def scores(self, hosts, paths) -> np.ndarray:
+        """Probability that each url is to be blocked."""
+        row, gram = self.grams(hosts, paths)
+        total = np.bincount(row, weights=self.weights[gram], minlength=len(hosts)) / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(hosts))))
+        return 1 / (1 + np.exp(-(total + self.bias)))
 
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", table: list[tuple[str, str]] | None = None, threshold: float = 0.5) -> DataFrame:
-    """``df`` with host, path, rule, block_score (the model's, for every url) and verdict."""
-    for name in ("host", "path", "rule", "block_score", "verdict"):
-        if name in df.columns:
-            raise ValueError(f"column {name} exists already")
-    model = Model(table or labelled())
+    """``df`` with host, path, rule, block_score (the model's, where no rule decides) and verdict."""
+    df, moved = make_room(df, "host", "path", "rule", "block_score", "verdict")
+    url = moved.get(url, url)
+    model = Model(labelled() if table is None else table)
 
     @F.pandas_udf("double")
     def score(host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([model.score(h, p) for h, p in zip(host, path, strict=True)], dtype="float64")
+        out, open_ = pd.Series(np.nan, index=host.index, dtype="float64"), host.notna().to_numpy()
+        for k in range(0, int(open_.sum()), 1024):
+            some = np.flatnonzero(open_)[k : k + 1024]
+            out.iloc[some] = model.scores(host.iloc[some].tolist(), path.iloc[some].tolist())
+        return out
 
+    ruled = free_name("_ruled", df.columns)
     host, path = host_and_path(F.col(url))
     x = df.withColumns({"host": host, "path": path})
     rule, verdict = rule_columns(rules, F.col("host"), F.col("path"))
-    x = x.withColumns({"rule": rule, "_verdict": verdict, "block_score": score("host", "path")})
-    x = x.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("block_score") >= threshold, BLOCK).otherwise(ALLOW)))
-    return x.drop("_verdict")
+    x = x.withColumns({"rule": rule, ruled: verdict})
+    free = F.col("rule").isNull()
+    x = x.withColumn("block_score", F.nanvl(score(F.when(free, F.col("host")), F.when(free, F.col("path"))), F.lit(None).cast("double")))
+    x = x.withColumn("verdict", F.coalesce(ruled, F.when(F.col("block_score") >= threshold, BLOCK).otherwise(ALLOW)))
+    return x.drop(ruled)
