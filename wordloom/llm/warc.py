@@ -8,7 +8,9 @@ stores data, and a lost task writes its bundles again. Payloads that were seen b
 payload, which name the record that holds it.
 
 Defined cases: null payload is an empty one; payloads shorter than ``min_bytes`` are never revisits; equal payloads with equal
-ids (repeated rows) are all responses; null ids are revisits of an equal payload that has an id; an empty table gives no bundle.
+ids (repeated rows) are all responses; null ids are revisits of an equal payload that has an id; a payload of any length is one record, and one longer than a
+frame has a frame of its own; an empty table gives no bundle; other columns pass through ``digests``, and those named as one of its results get
+underscores before their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_rows
+from ._common import free_name, make_room, slices, workspace, written
 
 # The seekable format's skippable magic and its footer's, the revisit profile.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -41,16 +43,28 @@ RECORD = T.StructType([
 ])
 
 
+#: Digests of the largest list of copied payloads that is broadcast, at some 150 bytes each.
+BROADCAST_ROWS = 1 << 18
+
+
 def digests(df: DataFrame, record_id: str, payload: str, min_bytes: int = 1000) -> DataFrame:
-    """Adds ``digest``, ``payload_length`` and ``refers_to`` (the id of the record that holds an equal payload, where another does)."""
+    """Adds ``digest``, ``payload_length`` and ``refers_to`` (the id of the record that holds an equal payload, where another does).
+
+    Only digests are shuffled to find copies. While their list is short it is broadcast, and payloads stay where they are.
+    """
+    if {record_id.lower(), payload.lower()} & {"digest", "payload_length", "refers_to"}:
+        raise ValueError("the columns of ids and payloads can't be named as one of the results")
+    df, _ = make_room(df, "digest", "payload_length", "refers_to")
+    kept_, n_ = free_name("_kept", df.columns), free_name("_n", df.columns)
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8")
     x = df.withColumns({"digest": F.sha1(body), "payload_length": F.octet_length(body).cast("long")})
-    long = df.select(F.col(record_id), F.sha1(body).alias("digest"), F.octet_length(body).alias("_n")).where(F.col("_n") >= min_bytes)
+    long = df.select(F.col(record_id), F.sha1(body).alias("digest"), F.octet_length(body).alias(n_)).where(F.col(n_) >= min_bytes)
     # Copies only; aggregated before the shuffle, so a hot payload is one row for each task.
-    kept = long.groupBy("digest").agg(F.max(record_id).alias("_kept"), F.count("*").alias("_copies")).where(F.col("_copies") > 1).drop("_copies")
-    x = x.join(kept, "digest", "left")
-    other = F.col("_kept").isNotNull() & (F.col("payload_length") >= min_bytes) & ~F.col(record_id).eqNullSafe(F.col("_kept"))
-    return x.withColumn("refers_to", F.when(other, F.col("_kept"))).drop("_kept")
+    kept = long.groupBy("digest").agg(F.max(record_id).alias(kept_), F.count("*").alias(n_)).where(F.col(n_) > 1).drop(n_)
+    kept = written(kept, workspace(df.sparkSession, "copies"))
+    x = x.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "digest", "left")
+    other = F.col(kept_).isNotNull() & (F.col("payload_length") >= min_bytes) & ~F.col(record_id).eqNullSafe(F.col(kept_))
+    return x.withColumn("refers_to", F.when(other, F.col(kept_))).drop(kept_)
 
 
 def record(record_id: str, uri: str | None, payload: bytes, digest: str, length: int, refers_to: str | None) -> bytes:
@@ -132,7 +146,6 @@ def read_frame(data: bytes, table: list[tuple[int, int, int]], k: int) -> bytes:
 
 def write_bundles(df: DataFrame, record_id: str = "record_id", uri: str = "uri", payload: str = "payload", frame_bytes: int = 256 << 10, bundle_bytes: int = 32 << 20, level: int = 3, rows: int = 256) -> DataFrame:
     """Bundles (``BUNDLE``) of the rows of ``digests``; a task holds one bundle at a time. Payloads are strings."""
-    arrow_rows(df.sparkSession, rows)
 
     def run(batches):
         part, made, b = TaskContext.get().partitionId(), 0, Bundler(frame_bytes, level)
@@ -143,7 +156,7 @@ def write_bundles(df: DataFrame, record_id: str = "record_id", uri: str = "uri",
             rows = [dict(zip(("record_id", "frame", "offset", "length"), e, strict=True)) for e in entries]
             return pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{made:06d}"]), pa.array([data], pa.binary()), pa.array([n], pa.int64()), pa.array([rows], kind)], names=BUNDLE.names)
 
-        for batch in batches:
+        for batch in slices(batches, rows):
             for own, u, body, digest, length, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = "" if own is None else str(own)
                 b.add(own, record(own, u, (body or "").encode(), digest, length, None if refers is None else str(refers)))
@@ -165,7 +178,7 @@ def read_bundles(bundles: DataFrame, only: set[str] | None = None) -> DataFrame:
     """Records (``RECORD``), read frame by frame by the seek table and the index; ``only``: a given set of ids, whose frames alone are read."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             for data, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 table, k, frame, out, held = seek_table(data), -1, b"", [], 0
                 for e in entries:
@@ -181,5 +194,4 @@ def read_bundles(bundles: DataFrame, only: set[str] | None = None) -> DataFrame:
                 if out:
                     yield _rows(out)
 
-    arrow_rows(bundles.sparkSession, 1)
     return bundles.select("data", "entries").mapInArrow(run, RECORD)
