@@ -117,7 +117,7 @@ def test_similarity(spark):
     assert nn == {0: 2, 1: 2, 2: 0}
     contexts = {0: ([0], 2), 1: ([1], 1), 2: ([2], 0), 3: ([0, 0], 2), 4: ([0, 1], 2), 5: ([0, 2], 2), 6: ([1, 1], 1), 7: ([1, 2], 1), 8: ([2, 2], 0), 9: ([-1], 0), 10: ([], 0)}
     df = spark.createDataFrame([(k, ids) for k, (ids, _) in contexts.items()], "context_id long, ids array<long>")
-    got = {r["context_id"]: r["neighbor_id"] for r in similarity.context_nearest_neighbor(v, df, block=2).collect()}
+    got = {r["context_id"]: r["neighbor_id"] for r in similarity.context_nearest_neighbor(v, df, chunk=2).collect()}
     assert got == {k: want for k, (_, want) in contexts.items()}
 
 
@@ -125,7 +125,7 @@ def test_nearest_neighbor_edges(spark):
     v = spark.createDataFrame([(5, [0.0, 0.0])], "word_id long, word_vec array<float>")
     assert [tuple(r) for r in similarity.nearest_neighbor(v).collect()] == [(5, -1, None)]
     v = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [3.0, 0.0])], "word_id long, word_vec array<float>")
-    got = {r["query_id"]: r["neighbor_id"] for r in similarity.nearest_neighbor(v, block=2).collect()}
+    got = {r["query_id"]: r["neighbor_id"] for r in similarity.nearest_neighbor(v, chunk=2).collect()}
     assert got == {0: -1, 1: 2, 2: 1, 3: 1}
 
 

@@ -1,16 +1,18 @@
-"""Nearest neighbours among embeddings: cosine of word vectors, or fit to a context. All candidates are looked at, in blocks."""
+"""Nearest neighbours among embeddings: cosine of word vectors, or fit to a context. All candidates are looked at, a chunk of queries at a time."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import cosine, fast_sigmoid_array
+from ..sources.tables import workspace, written
 
-BLOCK = 4096
+#: Queries that are broadcast at a time, and candidates that are scored at a time.
+CHUNK, ROWS = 4096, 2048
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame, key: str = "word_id", vector: str = "word_vec") -> DataFrame:
@@ -20,74 +22,85 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, key: str = "word_id",
     return pairs.join(left, "a").join(right, "b").select(*pairs.columns, cosine("_x", "_y").alias("similarity"))
 
 
-def _blocks(df: DataFrame, n: int, other: int, own: str, theirs: str, key: str) -> DataFrame:
-    x = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-    return x.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
 
 
-def _matrix(s) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in s])
+def _scan(have: DataFrame, asked: DataFrame, chunk: int, prepare, score, name: str, value: str) -> DataFrame:
+    """(name, neighbor_id, value): the best candidate of ``have`` (id, v) for each query of ``asked`` (key, ...).
 
+    Queries go in chunks of about ``chunk``, each broadcast to one scan of the candidates; a task yields its best for each query. Neither side is
+    copied or shuffled for the other. ``prepare`` makes a query set of an Arrow table, ``score(queries, ids, vectors)`` a matrix with -inf where a candidate is out.
+    """
+    spark, kind = asked.sparkSession, f"{name} long, neighbor_id long, {value} double"
+    folder = workspace(spark, "neighbours")
+    chunks = -(-max(1, asked.count()) // chunk)
+    asked = written(asked.withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int")), f"{folder}/asked")
+    for part in range(chunks):
+        t = asked.where(F.col("_chunk") == part).drop("_chunk").orderBy("key").toArrow()  # about ``chunk`` rows
+        shared = spark.sparkContext.broadcast((t.column("key").to_numpy(), prepare(t)))
+
+        def run(batches, shared=shared):
+            keys, queries = shared.value
+            best, at = np.full(len(keys), -np.inf), np.full(len(keys), -1, dtype=np.int64)
+            for whole in batches:
+                for k in range(0, whole.num_rows, ROWS):
+                    b = whole.slice(k, ROWS)
+                    order = np.argsort(b.column(0).to_numpy(), kind="stable")
+                    ids = b.column(0).to_numpy()[order]
+                    if not len(keys) or not len(ids):
+                        continue
+                    s = score(keys, queries, ids, _matrix(b.column(1))[order])
+                    i = s.argmax(axis=1)  # ids ascend: the lowest of equal ones
+                    top = s[np.arange(len(s)), i]
+                    won = (top > best) | ((top == best) & (top > -np.inf) & (ids[i] < at))
+                    best[won], at[won] = top[won], ids[i][won]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at), pa.array(best)], names=[name, "neighbor_id", value])
+
+        written(have.select("id", "v").mapInArrow(run, kind), f"{folder}/found/part={part}")
+    found = spark.read.schema(kind).parquet(*(f"{folder}/found/part={part}" for part in range(chunks)))
+    return _top(found, name, value)
+
+
+def nearest_neighbor(vectors: DataFrame, queries: DataFrame | None = None, key: str = "word_id", vector: str = "word_vec", chunk: int = CHUNK) -> DataFrame:
+    """(query_id, neighbor_id, similarity): the most similar other id; ties to the lowest; -1 and null where there is none."""
+    asked = (vectors if queries is None else queries).select(F.col(key).alias("key"), F.col(vector).alias("v"))
 
-def _best(score: np.ndarray, ids: np.ndarray, forbidden: np.ndarray) -> list[tuple[int, float]]:
-    """Row-wise argmax; NaN never wins, the lowest id wins ties; (-1, nan) where nothing is left."""
-    score = np.where(forbidden | np.isnan(score), -np.inf, score)
-    order = np.argsort(ids, kind="stable")
-    at = order[score[:, order].argmax(axis=1)]
-    return [(int(ids[i]), float(row[i])) if row[i] > -np.inf else (-1, float("nan")) for i, row in zip(at, score, strict=True)]
-
+    def score(keys, y, ids, x):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = (y @ x.T) / np.outer(np.sqrt((y * y).sum(1)), np.sqrt((x * x).sum(1)))
+        return np.where((keys[:, None] == ids[None, :]) | np.isnan(s), -np.inf, s)
 
-def nearest_neighbor(vectors: DataFrame, queries: DataFrame | None = None, key: str = "word_id", vector: str = "word_vec", block: int = BLOCK) -> DataFrame:
-    """(query_id, neighbor_id, similarity): the most similar other id; ties to the lowest; -1 and null where there is none."""
-    q = vectors if queries is None else queries
-    nv, nq = (-(-max(1, x.count()) // block) for x in (vectors, q))
-    left = _blocks(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")), nv, nq, "b", "q", "id")
-    right = _blocks(q.select(F.col(key).alias("id"), F.col(vector).alias("v")), nq, nv, "q", "b", "id")
-
-    def find(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask):
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "similarity": []})
-        ids, mine = have["id"].to_numpy(), ask["id"].to_numpy()
-        found = [(-1, float("nan"))] * len(ask)
-        if len(have):
-            x, y = _matrix(have["v"]), _matrix(ask["v"])
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = (y @ x.T) / np.outer(np.sqrt((y * y).sum(1)), np.sqrt((x * x).sum(1)))
-            found = _best(s, ids, mine[:, None] == ids[None, :])
-        return pd.DataFrame({"query_id": mine, "neighbor_id": [i for i, _ in found], "similarity": [v for _, v in found]})
-
-    x = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(find, "query_id long, neighbor_id long, similarity double")
-    return _top(x, "query_id", "similarity")
+    return _scan(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")), asked, chunk, lambda t: _matrix(t.column("v")), score, "query_id", "similarity")
 
 
 def _top(x: DataFrame, key: str, value: str) -> DataFrame:
-    """Best of the blocks."""
-    v = F.when(F.isnan(value), F.lit(None)).otherwise(F.col(value))
+    """Best of the tasks."""
+    v = F.when(F.col("neighbor_id") < 0, F.lit(None)).otherwise(F.col(value))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("_v"), "neighbor_id"))
     return x.withColumn("_v", v).withColumn("_r", rank).where("_r = 1").select(key, "neighbor_id", F.col("_v").alias(value))
 
 
-def context_nearest_neighbor(model: DataFrame, contexts: DataFrame, key: str = "context_id", ids: str = "ids", block: int = BLOCK) -> DataFrame:
+def context_nearest_neighbor(model: DataFrame, contexts: DataFrame, key: str = "context_id", ids: str = "ids", chunk: int = CHUNK) -> DataFrame:
     """(context_id, neighbor_id, score): the word whose vector fits a context best: the sum of fast sigmoids with its context vectors.
 
     ``model``: word_id, word_vec, context_vec. Negative ids are skipped; a context without any known id scores 0 everywhere and gives the lowest id.
     """
     x = contexts.select(F.col(key).alias("key"), F.posexplode_outer(ids).alias("pos", "word_id"))
     x = x.join(model.select("word_id", "context_vec"), "word_id", "left").groupBy("key").agg(F.collect_list("context_vec").alias("vs"))
-    nm, nc = (-(-max(1, d.count()) // block) for d in (model, contexts))
-    left = _blocks(model.select(F.col("word_id").alias("id"), F.col("word_vec").alias("v")), nm, nc, "b", "q", "id")
-    right = _blocks(x, nc, nm, "q", "b", "key")
-
-    def find(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask) or not len(have):
-            return pd.DataFrame({key: [], "neighbor_id": [], "score": []})
-        ids_, w = have["id"].to_numpy(), _matrix(have["v"])
-        score = np.zeros((len(ask), len(have)))
-        for i, vs in enumerate(ask["vs"]):
-            if len(vs):
-                score[i] = fast_sigmoid_array(_matrix(vs) @ w.T).sum(axis=0)
-        found = _best(score, ids_, np.zeros_like(score, dtype=bool))
-        return pd.DataFrame({key: ask["key"], "neighbor_id": [i for i, _ in found], "score": [v for _, v in found]})
-
-    out = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(find, f"{key} long, neighbor_id long, score double")
-    return _top(out, key, "score")
+
+    def prepare(t: pa.Table):
+        vs = t.column("vs").combine_chunks()
+        sizes = np.diff(vs.offsets.to_numpy()) if len(vs) else np.zeros(0, dtype=np.int64)
+        return _matrix(vs.flatten()) if sizes.sum() else np.zeros((0, 1)), np.concatenate([[0], np.cumsum(sizes)])
+
+    def score(keys, queries, ids, w):
+        rows, ends = queries
+        s = np.zeros((len(keys), len(ids)))
+        for i in range(len(keys)):
+            if ends[i] < ends[i + 1]:
+                s[i] = fast_sigmoid_array(rows[ends[i] : ends[i + 1]] @ w.T).sum(axis=0)
+        return np.where(np.isnan(s), -np.inf, s)
+
+    return _scan(model.select(F.col("word_id").alias("id"), F.col("word_vec").alias("v")), x, chunk, prepare, score, key, "score")
