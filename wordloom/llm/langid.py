@@ -80,7 +80,7 @@ class Trie:
         n, width = len(words), len(words[0])
         letters = np.array([list(map(ord, w)) for w in words], dtype=np.int64)
         depth = min(width, self.depth)
-        out = np.full((n, width, depth), -1, dtype=np.int64)
+        out = np.full((n, width, depth), -1, dtype=np.int32)
         row, start = np.divmod(np.arange(n * width), width)
         node = np.zeros(n * width, dtype=np.int64)
         for k in range(depth):
@@ -206,8 +206,8 @@ class Model:
                 for i in own:
                     logs[i] = log_long(self.trie, units[i], self.p)
                 continue
-            for k in range(0, len(own), 4096):
-                some = own[k : k + 4096]
+            for k in range(0, len(own), 2048):
+                some = own[k : k + 2048]
                 logs[some] = np.log(forward(self.trie.spans([units[i] for i in some]), self.p)[-1])
         return logs
 
@@ -219,12 +219,17 @@ def fit_counts(counts: dict[str, dict[str, int]], pieces: tuple[str, ...], round
     for language in languages:
         words = sorted(counts[language])
         units, weight = [MARK + w for w in words], np.array([counts[language][w] for w in words], dtype=float)
-        groups = [(np.array(own), trie.spans([units[i] for i in own])) for width, own in by_length(units).items() if width <= PLAIN]
-        long = [(i, trie.spans([u])[0]) for i, u in enumerate(units) if len(u) > PLAIN]
+        # Some thousand words at a time, looked up anew in each round: memory stays small.
+        groups = [np.array(own[k : k + 2048]) for width, own in by_length(units).items() if width <= PLAIN for k in range(0, len(own), 2048)]
+        long = [i for i, u in enumerate(units) if len(u) > PLAIN]
         p = np.full((len(pieces) + 1, 1), 1.0 / len(pieces))
         p[-1] = 0
         for _ in range(rounds):
-            c = sum([*(expected(spans, p, weight[own]) for own, spans in groups), *(expected_long(spans, p, weight[i]) for i, spans in long)], np.zeros(len(p)))
+            c = np.zeros(len(p))
+            for own in groups:
+                c += expected(trie.spans([units[i] for i in own]), p, weight[own])
+            for i in long:
+                c += expected_long(trie.spans([units[i]])[0], p, weight[i])
             p = np.maximum(c / max(c.sum(), 1e-300), FLOOR)[:, None]
             p[-1] = 0
         columns.append(p)
@@ -240,9 +245,10 @@ def fit(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang",
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     sample = rows.where(F.col("h") < share[F.col("lang")] * (1 << 20))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    found = words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy("lang", "word").toArrow()  # bounded by the sample
     counts: dict[str, dict[str, int]] = {}
-    for r in words.groupBy("lang", "word").agg(F.count("*").alias("n")).collect():  # bounded by the sample
-        counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    for lang_, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+        counts.setdefault(lang_, {})[word] = n
     return fit_counts(counts, pieces_of(vocabulary))
 
 
