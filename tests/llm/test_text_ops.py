@@ -1,6 +1,8 @@
 """Packing, line dedup, language ID, BPE, sharding, media and the Jaccard join against brute force, and their edge cases."""
 
+import functools
 import hashlib
+import math
 import random
 import zlib
 
@@ -35,15 +37,21 @@ def test_bpe_matches_the_library(spark):
         assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["n"] == len(want)
         assert r["decoded"] == library.decode(want, skip_special_tokens=False)
     assert bpe.encode(docs(spark, ODD).limit(0), BYTE).count() == 0
+    clash = bpe.encode(docs(spark, ODD), BYTE, into="key").collect()
+    assert {r["_key"] for r in clash} == {1} and {r["doc_id"]: r["key"] for r in clash} == {r["doc_id"]: r["ids"] for r in got}
     with pytest.raises(ValueError):
-        bpe.encode(docs(spark, ODD), BYTE, into="key")
+        bpe.Codec(WORD)
+
+
+@functools.cache
+def encoders():
+    return bpe.Codec(BYTE), Tokenizer.from_file(BYTE), packing.WordTokenizer(WORD)
 
 
 @given(st.text(st.characters(exclude_categories=("Cs", "Cn")), max_size=60) | st.text("ab \n't.", max_size=60) | st.text("aAéÉ  \n\t12'", max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_encoders_match_the_library(s):
-    c, byte, words = bpe.codec(BYTE), Tokenizer.from_file(BYTE) if not hasattr(test_encoders_match_the_library, "t") else test_encoders_match_the_library.t, packing.tokenizer(WORD)
-    test_encoders_match_the_library.t = byte
+    c, byte, words = encoders()
     assert np.frombuffer(c.encode(s), "<u4").tolist() == byte.encode(s, add_special_tokens=False).ids
     assert c.decode(c.encode(s)) == s
     assert words(s) == words.whole(s)
@@ -142,8 +150,10 @@ def test_line_dedup(spark):
     assert [got[i] for i in range(len(texts))] == brute_lines(texts, 5)
     out = line_dedup.dedup_lines(df.limit(0))
     assert out.count() == 0 and out.columns == [*df.columns, "n_lines", "n_dropped"]
-    with pytest.raises(ValueError):
-        line_dedup.dedup_lines(df.withColumn("n_lines", F.lit(1)))
+    clash = line_dedup.dedup_lines(df.withColumns({"n_lines": F.lit(-1), "_whole": F.lit("w"), "_drops": F.lit("d")}), min_docs=5)
+    assert {(r["_n_lines"], r["_whole"], r["_drops"]) for r in clash.collect()} == {(-1, "w", "d")}
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in clash.collect()} == got
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("wordloom_run_")]
 
 
 def test_runs_add_up_over_batches(spark, tmp_path):
@@ -180,11 +190,57 @@ def test_language_id(spark):
     assert all(got[i]["lang_pred"] == lang and 0 <= got[i]["score"] <= 1 for i, _, lang in rows)
     odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs(spark, [*ODD, "123 !?", "the river", "the river"], extra=False).drop("lang"), model).collect()}
     assert all(odd[i] == ("und", 0.0) for i in (0, 1, 2, 3, 12)) and odd[13] == odd[14] and odd[13][0] == "en" and odd[5][0] in words
-    with pytest.raises(ValueError):
-        langid.fit(df.limit(0), PIECE)
+    none = langid.fit(df.limit(0), PIECE)
+    assert {(r["lang_pred"], r["score"]) for r in langid.predict(df.withColumns({"score": F.lit("s"), "lang_pred": F.lit(3)}), none).collect()} == {("und", 0.0)}
+    clash = langid.predict(df.withColumns({"score": F.lit("s"), "LANG_PRED": F.lit(3)}), model)
+    assert clash.columns[-2:] == ["lang_pred", "score"] and {(r["_score"], r["_LANG_PRED"]) for r in clash.collect()} == {("s", 3)}
+    assert langid.fit(df.withColumn("lang", F.lit(None).cast("string")), PIECE).languages == []
     assert langid.predict(df.limit(0), model).count() == 0
 
 
+def test_posteriors_match_brute_force(spark):
+    """lang_pred and score of real documents against sums over all segmentations, word by word, in plain Python."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40)
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), PIECE, per_language=20)
+    at = {x: i for i, x in enumerate(model.pieces)}
+
+    @functools.cache
+    def log_word(word, k):
+        u, alpha = "▁" + word, [1.0] + [0.0] * (len(word) + 1)
+        for end in range(1, len(u) + 1):
+            for start in range(end):
+                q = model.p[at[u[start:end]], k] if u[start:end] in at else 0.0
+                alpha[end] += alpha[start] * (max(q, langid.FLOOR) if end - start == 1 else q)
+        return math.log(alpha[-1])
+
+    for r in langid.predict(rows, model).collect():
+        ws = langid.words_of(r["text"])[:10**9]
+        totals = [sum(log_word(w, k) for w in ws) for k in range(len(model.languages))]
+        best = max(range(len(totals)), key=lambda k: totals[k]) if ws else None
+        assert r["lang_pred"] == ("und" if best is None else model.languages[best])
+        assert r["score"] == pytest.approx(0.0 if best is None else 1 / sum(math.exp(t - totals[best]) for t in totals), abs=1e-6)
+
+
+def test_long_words_are_not_cut():
+    pieces = ("a", "ab", "abab", "b", "ba", "▁", "▁a")
+    counts = {"x": {"abab": 5, "ba" * 18: 2}, "y": {"bb": 4, "a": 1}}
+    model = langid.fit_counts(counts, pieces)
+    words = ["ab" * 15, "ab" * 20, "ba" * 16 + "z", "q" * 34]
+    for w, row in zip(words, model.log_words(words), strict=True):
+        spans = model.trie.spans(["▁" + w])
+        assert row == pytest.approx(np.log(langid.forward(spans, model.p)[-1, 0]), rel=1e-9)
+    spans = model.trie.spans(["▁" + "ab" * 18])
+    p = model.p[:, :1]
+    assert langid.expected_long(spans[0], p, 3.0) == pytest.approx(langid.expected(spans, p, np.array([3.0])), rel=1e-6, abs=1e-12)
+    endless = "abba" * 3000
+    assert np.isfinite(model.log_words([endless])).all()
+    stretch, langid.STRETCH = langid.STRETCH, 7
+    try:
+        assert model.log_words([words[2]]) == pytest.approx(np.log(langid.forward(model.trie.spans(["▁" + words[2]]), model.p)[-1]), rel=1e-9)
+    finally:
+        langid.STRETCH = stretch
+
+
 def test_scorer_forgets_and_stays_the_same():
     model = langid.fit_counts({"a": {"aa": 5, "ab": 2}, "b": {"bb": 4}}, ("a", "ab", "b", "bb", "▁"))
     one, two = langid.Scorer(model), langid.Scorer(model, limit=2)
@@ -213,6 +269,10 @@ def test_sharding(spark):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in rows} == {(r["doc_id"], r["shard"], r["slot"]) for r in again}
     assert sharding.shard(docs(spark, texts).limit(0)).count() == 0
     assert sharding.shard(docs(spark, [None, None]), shards=4).count() == 2
+    odd = docs(spark, ["a", "a", None, "b" * 2_000_000, "c"]).withColumns({"doc_id": F.when(F.col("doc_id") > 1, 3).cast("long"), "shard": F.lit("s"), "_atom": F.lit(1), "size": F.lit(2)})
+    got = sharding.shard(odd, shards=2).collect()
+    assert sorted(r["size"] for r in got) == [16, 17, 17, 17, 2_000_016] and sorted(str(r["doc_id"]) for r in got) == ["3", "3", "3", "None", "None"]
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in (0, 1))
 
 
 @given(st.lists(st.integers(1, 50), min_size=40, max_size=200), st.integers(2, 6))
@@ -237,10 +297,27 @@ def test_media(spark):
         by.setdefault(body, set()).add((r["feature"], bytes(r["media"])))
     assert all(len(v) == 1 for v in by.values())
     assert media.load(media.store(docs(spark, ODD).limit(0))).count() == 0
+    clash = media.load(media.store(docs(spark, ODD).withColumns({"media": F.lit(1), "n_bytes": F.lit(2), "payload": F.lit(3), "feature": F.lit(4)})))
+    assert {tuple(r[f"_{c}"] for c in ("media", "n_bytes", "payload", "feature")) for r in clash.collect()} == {(1, 2, 3, 4)}
     wide = b"ab" * (576 * 9000)
     assert media.to_payload(media.to_pixels(wide), len(wide)) == wide and media.to_pixels(wide).shape == (9000, 384)
 
 
+def test_a_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    from wordloom.llm import webp
+
+    rng = np.random.default_rng(3)
+    text = bytes(rng.choice(np.frombuffer(b"etaoin shrdlu", dtype=np.uint8), 2_000_000))
+    tracemalloc.start()
+    file = webp.encode_best(media.to_pixels(media.padded(text)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * len(text)
+    assert media.to_payload(webp.decode_many([file])[0], len(text)) == text
+
+
 # Jaccard join
 
 
@@ -291,6 +368,12 @@ def test_jaccard_is_exact(spark, family, n, percent, rounds):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_classes(family, n, percent)
 
 
+def meet(a, b, percent, frequent=jaccard.NONE):
+    """Whether two sets share at least as many regions of a space as each of them has to."""
+    mine, theirs = jaccard.region_tokens(a, percent, frequent), jaccard.region_tokens(b, percent, frequent)
+    return any(len(set(t.tolist()) & set(u.tolist())) >= max(n, m) for n, t in mine for m, u in theirs)
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_linked_sets_share_a_region(percent):
     rng = np.random.default_rng(percent)
@@ -301,7 +384,7 @@ def test_linked_sets_share_a_region(percent):
         b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= percent * (len(a) + len(b) - both) and (len(a) != both or len(b) != both):
-            assert set(jaccard.region_tokens(a, percent)) & set(jaccard.region_tokens(b, percent))
+            assert meet(a, b, percent)
 
 
 def test_one_of_each(spark):
@@ -309,12 +392,66 @@ def test_one_of_each(spark):
     kept = jaccard.one_of_each(df)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 5] and kept.columns == df.columns
     assert jaccard.classes(df.limit(0)).count() == 0
+    twice = docs(spark, ["a b c d e f g", "a b c d e f g", "x y z u v w", "x y z u v w"]).withColumns({"doc_id": F.when(F.col("doc_id") < 3, 7).otherwise(8).cast("long"), "root": F.lit(1), "_text": F.lit("t"), "_key": F.lit(2), "kept": F.lit(0)})
+    kept = jaccard.one_of_each(twice).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(7, "a b c d e f g"), (7, "x y z u v w")]
     nulls = df.withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
     assert jaccard.one_of_each(nulls).count() == 6
     with pytest.raises(ValueError):
         jaccard.classes(df, percent=40)
 
 
+def test_frequent_pivots_only_steer():
+    """Any list of frequent pivots leaves linked sets a common region."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(20, 200)), dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: len(a) - len(a) // 12], rng.integers(0, 2**63, 1, dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        tokens = np.unique(np.concatenate([t for t, *_ in jaccard._spaces(a, 80)]))
+        some = np.sort(rng.permutation(tokens)[: len(tokens) // 2])
+        frequent = some, rng.integers(64, 1000, len(some))
+        assert meet(a, b, 80, frequent)
+
+
+def test_counter_finds_frequent_pivots():
+    rng, c = np.random.default_rng(0), jaccard.Counter()
+    hot = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    for _ in range(300):
+        c.add(np.concatenate([rng.integers(0, 2**63, 5000, dtype=np.uint64), hot]))
+    known, times = c.most()
+    assert set(hot.tolist()) <= set(known.tolist()) and len(known) <= jaccard.FROM_TASK and len(c.known) <= jaccard.COUNTED
+    assert all(times[np.searchsorted(known, h)] == 300 for h in []) and times.max() <= 300
+
+
+def test_hashes_of_words_in_any_window():
+    texts = [*ODD, "q" * 100_000 + " z", "a " * 40_000, "w7 " * 20_000 + "y" * 40_000 + " e", *("x" * n for n in (32_765, 32_766, 32_767, 32_768))]
+    words = [(t or "").encode().lower().split() for t in texts]
+    assert [n for _, counts in jaccard.word_hashes(texts) for n in counts] == list(map(len, words))
+    known = {}
+    for w, h in zip((w for ws in words for w in ws), (h for hs, _ in jaccard.word_hashes(texts) for h in hs.tolist()), strict=True):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
+@pytest.mark.parametrize("values", [1 << 19, 50])
+def test_ranges_of_shingles_add_up(values):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: 300 - k], rng.integers(0, 2**64, k, dtype=np.uint64)])) for k in range(0, 60, 3)]
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
+    root = list(range(len(sets)))
+    for i, j in [*links]:
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    found, own = jaccard.linked_pairs(sets, np.arange(len(sets)), 90, values=values), list(range(len(sets)))
+    for i, j in found.tolist():
+        assert (max(i, j), min(i, j)) in links
+        own = [min(own[i], own[j]) if r in (own[i], own[j]) else r for r in own]
+    assert own == root
+
+
 def test_components_of_chains(spark, tmp_path):
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7)]
     got = {r["c"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path)).collect()}

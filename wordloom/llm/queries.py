@@ -123,6 +123,21 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_read(spark, sf_dir, "documents", "doc_id", "text"), n=3, percent=90)
 
 
+OP9_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+s as (
+  select doc_id, unnest(case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) sh from w),
+n as (select doc_id, count(*) n from s group by doc_id),
+met as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+links as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+ways as (select a, b from links union select b, a from links),
+reach as (select doc_id, doc_id root from documents union select ways.b, root from reach join ways on ways.a = reach.doc_id)
+select reach.doc_id, coalesce(any_value(n), 0)::bigint n_shingles, min(root) component_id from reach left join n on n.doc_id = reach.doc_id group by reach.doc_id
+"""
+
+
 # The rules of the contract.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -135,4 +150,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_language_id, op4_ann_forest, op5_media, op6_warc, op7_bpe, op8_sharding, op9_jaccard_join, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op9_jaccard_join": OP9_SQL}

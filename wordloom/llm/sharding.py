@@ -10,8 +10,9 @@ between the fullest and the emptiest shard then even out the bytes. The law that
 Slots are gapless without a shard in one task: atoms' row counts give each atom its first slot, and rows are numbered
 within their atom.
 
-Defined cases: null text has no bytes and no tokens, checksum 0, and forms a group; ids may be null or repeat (rows are numbered anyway); an
-empty table gives no rows.
+Defined cases: null text has no bytes and no tokens, checksum 0, and forms a group; ids may be null or repeat: rows are numbered within their atom by id, size and
+checksum, and equal ones in any order, which their columns don't show; a text of any length is one row of its size, and a shard can then hold no less; an empty
+table gives no rows; other columns are left out of the result, whatever their names.
 """
 
 from __future__ import annotations
