@@ -13,6 +13,7 @@ multiple of the pixels.
 
 from __future__ import annotations
 
+import copy
 import functools
 import struct
 
@@ -52,8 +53,8 @@ REVERSED = _reversed15()
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes of a canonical prefix code, bit-reversed as they stand in the stream."""
-    order = np.lexsort((np.arange(len(lengths)), lengths))
-    order = order[lengths[order] > 0]
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
     step = np.int64(1) << (15 - lengths[order].astype(np.int64))
     at = np.cumsum(step) - step
     codes = np.zeros(len(lengths), dtype=np.int64)
@@ -72,7 +73,7 @@ def table_of(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     if int((np.int64(1) << (bits - lengths[used].astype(np.int64))).sum()) != 1 << bits:
         raise ValueError("incomplete prefix code")
     # In order of the code from its first bit on, each symbol fills a run; reversing the index gives the stream's order.
-    order = used[np.lexsort((used, lengths[used]))]
+    order = used[np.argsort(lengths[used], kind="stable")]
     runs = np.repeat(order << 4 | lengths[order], np.int64(1) << (bits - lengths[order].astype(np.int64)))
     return runs[REVERSED[: 1 << bits] >> (15 - bits)], bits
 
@@ -92,7 +93,7 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
         i = grow[np.lexsort((grow, share[grow], -n[grow]))[0]]
         room += 1 << (limit - n[i] - 1)
         n[i] += 1
-    order = np.lexsort((used, -share))
+    order, n = np.argsort(-share, kind="stable").tolist(), n.tolist()
     while room > 0:
         for i in order:
             if n[i] > 1 and (cost := 1 << (limit - n[i])) <= room:
@@ -218,10 +219,8 @@ def find_matches(px: np.ndarray) -> list[tuple[int, int, int]]:
     order = np.argsort(key, kind="stable")
     same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     at, back = order[same + 1], order[same]
-    true = at - back <= FAR
-    for k in range(4):
-        true &= px[at + k] == px[back + k]
-    at, back = at[true], back[true]
+    near = at - back <= FAR
+    at, back = at[near], back[near]
     if not len(at):
         return []
     order = np.argsort(at)
@@ -233,6 +232,8 @@ def find_matches(px: np.ndarray) -> list[tuple[int, int, int]]:
         start = max(start, done)
         while end - start >= SHORTEST:
             length = min(LONGEST, end - start)
+            if (px[start : start + length] != px[start - d : start - d + length]).any():  # keys were equal by chance
+                break
             out.append((start, length, d))
             start = done = start + length
     return out
@@ -260,31 +261,38 @@ class Tokens:
     """A flat image as literals, cache entries and back-references."""
 
     def __init__(self, px: np.ndarray, cache_bits: int, matches: list[tuple[int, int, int]], width: int):
-        self.px, self.cache_bits = px, cache_bits
+        self.px, self.cache_bits = px, 0
         own, self.literal = np.ones(len(px), dtype=bool), np.ones(len(px), dtype=bool)
         for start, length, _ in matches:
             own[start + 1 : start + length] = False
             self.literal[start : start + length] = False
         self.green = (px >> np.uint32(8) & np.uint32(255)).astype(np.int16)
-        if cache_bits:
-            at, hit = cache_hits(px, cache_bits)
-            hit &= self.literal
-            self.green[hit] = 280 + at[hit]
-            self.literal &= ~hit
         self.matches = [(*prefix_of(length), *prefix_of(1 if d == width else 2 if d == 1 else d + 120)) for _, length, d in matches]
-        starts = [m[0] for m in matches]
-        self.green[starts] = [256 + m[0] for m in self.matches]
+        self.green[[m[0] for m in matches]] = [256 + m[0] for m in self.matches]
         self.at = np.flatnonzero(own)  # the pixel at which each token begins
-        size = 280 + (1 << cache_bits if cache_bits else 0)
-        shown = px[self.literal]
-        channels = shown.astype("<u4").view(np.uint8).reshape(-1, 4)
-        self.counts = [np.bincount(self.green[self.at], minlength=size)]
+        if cache_bits:
+            self._cache(cache_bits)
+        self._count()
+
+    def _cache(self, bits: int) -> None:
+        at, hit = cache_hits(self.px, bits)
+        hit &= self.literal
+        self.cache_bits, self.green, self.literal = bits, np.where(hit, at + 280, self.green).astype(np.int16), self.literal & ~hit
+
+    def with_cache(self, bits: int) -> Tokens:
+        out = copy.copy(self)
+        out._cache(bits)
+        out._count()
+        return out
+
+    def _count(self) -> None:
+        channels = self.px[self.literal].astype("<u4").view(np.uint8).reshape(-1, 4)
+        self.counts = [np.bincount(self.green[self.at], minlength=280 + (1 << self.cache_bits if self.cache_bits else 0))]
         self.counts += [np.bincount(channels[:, k], minlength=256) for k in (2, 0, 3)]
         self.counts.append(np.bincount([m[3] for m in self.matches], minlength=40))
-        # Red and blue of a text are alike: one code for both is made, told and read once.
-        both = self.counts[1] + self.counts[2]
-        if entropy(both) <= 1.02 * (entropy(self.counts[1]) + entropy(self.counts[2])) + 128:
-            self.counts[1] = self.counts[2] = both
+        # Red and blue of a text are alike (and of a small image, too few to tell): one code for both is made, told and read once.
+        if len(channels) < 1024 or np.abs(self.counts[1] - self.counts[2]).sum() <= 0.3 * len(channels):
+            self.counts[1] = self.counts[2] = self.counts[1] + self.counts[2]
 
     def bits(self) -> float:
         """About how many bits the image takes."""
@@ -440,9 +448,9 @@ def indexed(px: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def smooth(px: np.ndarray) -> bool:
-    """Whether neighbours are near in value, as in pictures, so that predictions can pay; texts are not."""
-    some = px[:8]
-    return some.size > 16 and float(np.mean([np.abs(np.diff(c, axis=1)).mean() if c.shape[1] > 1 else 255.0 for c in split_channels(some)[1:]])) < 12
+    """Whether neighbours are near in value (in green), as in pictures, so that predictions can pay; texts are not."""
+    green = px[:8].astype("<u4").view(np.uint8)[:, 1::4].astype(np.int16)
+    return green.shape[1] > 1 and px.size > 16 and float(np.abs(green[:, 1:] - green[:, :-1]).mean()) < 12
 
 
 def predicted(px: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
@@ -467,7 +475,7 @@ def predicted(px: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
 
 
 #: Literals from which a cache is tried, and pixels up to which a palette is: below and above they don't pay.
-CACHED, COLOURED = 1024, 1024
+CACHED, COLOURED = 2048, 1024
 
 
 def encode_best(px: np.ndarray) -> bytes:
@@ -481,7 +489,7 @@ def encode_best(px: np.ndarray) -> bytes:
         t = Tokens(flat, 0, matches, width)
         tried.append((more, transforms, t))
         if np.count_nonzero(t.literal) >= CACHED:
-            tried.append((more, transforms, Tokens(flat, min(10, len(flat).bit_length() - 2), matches, width)))
+            tried.append((more, transforms, t.with_cache(min(10, len(flat).bit_length() - 2))))
 
     consider((), flat, matches, width)
     if len(flat) <= COLOURED and 4 * len(set(flat.tolist())) <= len(flat):
