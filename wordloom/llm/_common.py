@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -22,7 +25,7 @@ class Memo(dict):
     corpus. Longer keys are computed each time.
     """
 
-    def __init__(self, fn: Callable, limit: int = 250_000, longest: int = 48):
+    def __init__(self, fn: Callable, limit: int = 120_000, longest: int = 48):
         super().__init__()
         self.fn, self.limit, self.longest = fn, limit, longest
 
@@ -45,18 +48,29 @@ def resident(key: tuple, make: Callable[[], Kept]) -> Kept:
     """
     if key not in _resident:
         _resident.clear()
+        trim()
         _resident[key] = make()
     return _resident[key]
 
 
+def trim() -> None:
+    """Gives the memory that this process has freed back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, rows: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of at most ``rows`` rows, as documents can be long.
 
-    Spark bounds its own batches by bytes; no session setting is touched.
+    Spark bounds its own batches by bytes; no session setting is touched. After the last one, freed memory is given back: workers are kept for other tasks.
     """
     for b in batches:
         for first in range(0, b.num_rows, rows):
             yield b.slice(first, rows)
+    del batches
+    trim()
 
 
 def free_name(name: str, taken) -> str:

@@ -48,7 +48,7 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one vocabulary file (``tokenizers`` JSON, byte-level BPE)."""
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -109,7 +109,7 @@ class Codec:
                 a, bound = inner_a, a
             else:
                 b, bound = inner_b, b + 1
-        if len(self.pairs) >= 500_000:
+        if len(self.pairs) >= 250_000:
             self.pairs.clear()
         self.pairs[left, right] = out
         return out

@@ -255,7 +255,7 @@ def fit(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang",
 class Scorer:
     """Scores texts with one model; remembers words."""
 
-    def __init__(self, model: Model, limit: int = 250_000):
+    def __init__(self, model: Model, limit: int = 120_000):
         self.model, self.limit = model, limit
         self.at: dict[str, int] = {}
         self.table = np.zeros((1 << 16, len(model.languages)))

@@ -51,7 +51,7 @@ class WordTokenizer:
     Texts with ``ODD`` characters or what may be an added token go to the library whole.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 120_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
