@@ -164,7 +164,7 @@ def build(rows: DataFrame, trees: int, pool: int, block: int, seed: int) -> Data
     return rows.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).groupBy("size", "block").applyInArrow(make, INDEX)
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = 256, pool: int = 1024, share: float = 0.32, least: int = 64, block: int = 8192, chunk: int = 8192, seed: int = 20) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = 256, pool: int = 1024, share: float = 0.42, least: int = 64, block: int = 8192, chunk: int = 8192, seed: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row of ``queries``. A task holds one block, and one chunk of queries."""
     spark = df.sparkSession
     folder = workspace(spark, "forest")
