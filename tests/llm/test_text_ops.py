@@ -452,6 +452,44 @@ def test_ranges_of_shingles_add_up(values):
     assert own == root
 
 
+def test_large_sets_that_differ_are_not_sent_to_blocks(spark, monkeypatch):
+    """Texts that share nine tenths of 6,000 words, below the threshold: only those with a link may go to the block stage with their shingles."""
+    shared = [f"s{i}" for i in range(5400)]
+    texts = [" ".join(shared + [f"u{k}x{i}" for i in range(600)]) for k in range(12)]
+    texts += [t + " more words" for t in texts[:3]]
+    sent = []
+
+    def written(df, path, write=jaccard.written):
+        out = write(df, path)
+        if "/some-" in path:
+            sent.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", written)
+    rows = jaccard.classes(docs(spark, texts), 3, 90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {k: k % 12 for k in range(15)}
+    assert len({r["c"] for r in sent}) <= 6  # the three linked pairs, at most
+
+
+@pytest.mark.parametrize("percent", [51, 80, 90])
+def test_parities_lose_no_link(percent):
+    """Of any two sets, also of unlike numbers of classes; sets that share nothing are told apart."""
+    rng = np.random.default_rng(percent)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 3000)), dtype=np.uint64))
+        drop, add = (int(rng.integers(0, len(a) * (100 - percent) // percent + 1)) for _ in range(2))
+        b = np.unique(np.concatenate([rng.permutation(a)[min(drop, len(a) - 1) :], rng.integers(0, 2**64, add, dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        x = [jaccard.parity(a, percent), jaccard.parity(b, percent)]
+        near = {(i, j) for i, js in jaccard.may_link(x, np.arange(2), percent) for j in js.tolist()}
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            assert near in ({(0, 1)}, {(1, 0)})
+        assert not [js for _, js in jaccard.may_link(x, np.zeros(2), percent) if len(js)]
+        if percent > 51 and len(a) > 200:
+            other = jaccard.parity(np.unique(rng.integers(0, 2**64, len(a), dtype=np.uint64)), percent)
+            assert not [js for _, js in jaccard.may_link([x[0], other], np.arange(2), percent) if len(js)]
+
+
 def test_components_of_chains(spark, tmp_path):
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7)]
     got = {r["c"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path)).collect()}

@@ -12,12 +12,11 @@ of each document under links, so a region whose documents are known to be connec
    with all others together drop out. The order puts frequent pivots last (passages that many documents share; a bounded list of them is
    counted first, over all texts) and larger ones first, so a document goes to regions that few unlinked documents enter. Sets with too
    few parts for a sure meeting add single shingles the same way.
-3. *Region join.* A region's pivot is its most central class. True distances to the pivot are measured where the region is not
-   connected yet. If documents stay apart, the triangle inequality decides who goes on: all outside the pivot's component, and
+3. *Region join.* A region's pivot is its most central class. Each class is first measured against the most central pivot it meets, unless parities
+   of classes of shingles, which bound distances from below, rule a link out; true distances to the pivot are measured in regions that need them. If documents stay apart, the triangle inequality decides who goes on: all outside the pivot's component, and
    of those inside only the boundary, whose distance to the pivot is within ``r`` of an outsider's. They form the next region, with a pivot from
    outside, and join in turn, as long as a region has more members than a block. What is left is compared in blocks bounded by rows and bytes, each set of
-   members once: first by counts of shingles in classes, which bound distances from below, then by the sets of those that stay, a range of
-   shingle hashes at a time.
+   members once: first by those parities, then by the sets of those that stay, a range of shingle hashes at a time.
 
 Sampled documents as pivots of the whole table are not used: unrelated texts are at distance near 1 from each other, so with windows of
 ``2 r`` nearly each falls to every pivot (the README has figures). Inside regions distances differ and the windows cut.
@@ -399,11 +398,18 @@ class Regions:
         self.bodies, self.percent, self.folder, self.salted = bodies, percent, folder, salted
         self.labels: DataFrame | None = None
         self.made = 0
+        self.parities = written(bodies.select("c", parities(percent)("body").alias("body")), self._next("parities"))
 
     def _next(self, name: str) -> str:
         self.made += 1
         return f"{self.folder}/{name}-{self.made}"
 
+    def sifted(self, pairs: DataFrame) -> DataFrame:
+        """(c, p, near) of distinct pairs: whether parities allow a link."""
+        near = pairs_may_link(self.percent)("body", "body_p").alias("near")
+        x = pairs.join(self.parities, "c").join(self.parities.select(F.col("c").alias("p"), F.col("body").alias("body_p")), "p").select("c", "p", near)
+        return written(x, self._next("sifted"))
+
     def measure(self, pairs: DataFrame) -> DataFrame:
         """(c, p, d, link) of distinct pairs."""
         body = self.bodies
@@ -435,7 +441,9 @@ class Regions:
     def join(self, rows: DataFrame, rounds: int, block: int) -> DataFrame:
         """Settles regions (token, c, p, rank) and returns (c, root)."""
         # First each class with the most central pivot it meets: in groups of copies this connects nearly all.
-        known = self.measure(rows.groupBy("c").agg(F.max_by("p", "rank").alias("p")))
+        central = self.sifted(rows.groupBy("c").agg(F.max_by("p", "rank").alias("p")))
+        measured = self.measure(central.where("near").select("c", "p")).select("c", "p", "d")
+        never = central.where("not near").select("c", "p")  # no link, at a distance that was not measured
         rows = self.apart(rows.select("token", "c", "p"))
         small = rows.where(F.col("k") <= block)
         for _ in range(rounds):
@@ -443,18 +451,20 @@ class Regions:
             if large.isEmpty():
                 rows = large
                 break
-            missing = large.select("c", "p").distinct().join(known.select("c", "p"), ["c", "p"], "left_anti")
-            known = known.unionAll(self.measure(missing))
+            missing = large.select("c", "p").distinct().join(measured.select("c", "p"), ["c", "p"], "left_anti")
+            measured = measured.unionAll(self.measure(missing).select("c", "p", "d"))
             # Who goes on: outsiders, and insiders at the boundary of the pivot's component.
-            x = written(self.labelled(large.select("token", "c", "p").join(known.select("c", "p", "d"), ["c", "p"])), self._next("measured"))
+            x = written(self.labelled(large.select("token", "c", "p").join(measured, ["c", "p"])), self._next("measured"))
             r = 1 - self.percent / 100 + 1e-9
             ends = x.where("lc <> lp").groupBy("token").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.min("c").alias("q"))
             x = self.salted.join(x, ends).where(f"c <> q and (lc <> lp or d between low - {r} and high + {r})")
             rows = self.apart(x.select("token", "c", F.col("q").alias("p")))
             small = small.unionAll(rows.where(F.col("k") <= block))
         # Two members that were measured already have nothing left to compare.
+        known = measured.select("c", "p").unionAll(never)
         small = small.join(known.select("c", "p", F.lit(1).cast("long").alias("k")), ["c", "p", "k"], "left_anti").select(*small.columns)
-        rest = small.unionAll(rows.where(F.col("k") > block))
+        # Written, as it is read twice: its plan spans all rounds.
+        rest = written(small.unionAll(rows.where(F.col("k") > block)), self._next("rest"))
         if not rest.isEmpty():
             self._blocks(rest, block)
         return self.labels
@@ -462,12 +472,12 @@ class Regions:
     def _blocks(self, rows: DataFrame, block: int) -> None:
         """Compares the classes of each region that are in different components, two blocks at a time.
 
-        First by counts of shingles in ``CLASSES`` classes, which bound an intersection from above: who can have no partner goes.
+        First by parities, which bound a difference from below: who can have no partner goes.
         """
         members = rows.select("token", "c", F.col("lc").alias("label")).unionAll(rows.select("token", F.col("p").alias("c"), F.col("lp").alias("label")).distinct())
         members = self.salted.one_token_each(members, self._next("members"))
         percent = self.percent
-        near = self._pairs_of_blocks(members, self.bodies.select("c", class_counts("body").alias("body")), block)
+        near = self._pairs_of_blocks(members, self.parities, block)
         some = grouped(near, lambda t: t.filter(pa.array(has_partner(t, percent))), near.schema).select("token", "c", "label").distinct()
         some = written(some, self._next("some"))
 
@@ -515,27 +525,63 @@ def grouped(df: DataFrame, f, kind: T.StructType) -> DataFrame:
     return df.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, kind)
 
 
-#: Classes of the counts that bound intersections.
-CLASSES = 256
+def parity(h: np.ndarray, percent: int) -> np.ndarray:
+    """The size of a set, and whether each class of its shingles (by their low bits) holds an odd number, 64 classes a word.
+
+    Two sets differ in as many shingles at least as in odd classes. There are four times as many classes as shingles in which a set and a partner of
+    its size may differ, so sets that differ by much more are told apart; as a power of two, so halves fold into the vector of a set of fewer classes.
+    """
+    bits = 1 << max(9, (8 * len(h) * (100 - percent) // (100 + percent)).bit_length())
+    odd = np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.concatenate([[U(len(h))], np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)])
+
+
+def parities(percent: int):
+    @F.pandas_udf(T.BinaryType())
+    def of(body: pd.Series) -> pd.Series:
+        return pd.Series([parity(np.frombuffer(b, dtype=np.uint64), percent).tobytes() for b in body], dtype=object)
+
+    return of
+
+
+def folded(odd: np.ndarray) -> np.ndarray:
+    """The parities in half as many classes."""
+    return odd[: len(odd) // 2] ^ odd[len(odd) // 2 :]
+
+
+def may_link(x: list[np.ndarray], labels: np.ndarray, percent: int):
+    """(i, js): for some sets, by their parities, the sets of other labels that they may link with; each pair once.
+
+    A partner has at most twice the classes, as its size is less than twice the set's.
+    """
+    size, words = np.array([int(p[0]) for p in x], dtype=np.int64), np.array([len(p) - 1 for p in x])
+    for width in np.unique(words).tolist():
+        own, wide = np.flatnonzero(words == width), np.flatnonzero(words == 2 * width)
+        all_, odd = np.concatenate([own, wide]), np.stack([*(x[i][1:] for i in own), *(folded(x[i][1:]) for i in wide)])
+        for k, i in enumerate(own.tolist()):
+            js = all_[k + 1 :]
+            at = k + 1 + np.flatnonzero((labels[js] != labels[i]) & (100 * np.minimum(size[i], size[js]) >= percent * np.maximum(size[i], size[js])))
+            differ = np.bitwise_count(odd[at] ^ odd[k]).sum(axis=1, dtype=np.int64)
+            js = all_[at]
+            yield i, js[(100 + percent) * differ <= (100 - percent) * (size[i] + size[js])]
+
 
+def pairs_may_link(percent: int):
+    @F.pandas_udf(T.BooleanType())
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        read = lambda x: np.frombuffer(x, dtype=np.uint64)
+        two = np.arange(2)
+        return pd.Series([any(len(js) for _, js in may_link([read(x), read(y)], two, percent)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-@F.pandas_udf(T.BinaryType())
-def class_counts(body: pd.Series) -> pd.Series:
-    """Shingles of a packed set in each class, packed 32-bit counts."""
-    return pd.Series([np.bincount((np.frombuffer(b, dtype=np.uint64) >> U(56)).astype(np.int64), minlength=CLASSES).astype("<u4").tobytes() for b in body], dtype=object)
+    return of
 
 
 def has_partner(t: pa.Table, percent: int) -> np.ndarray:
-    """Whether the counts of a row allow a link with some row of another label."""
-    x, labels = np.stack([np.frombuffer(b, dtype="<u4").astype(np.int32) for b in t.column("body").to_pylist()]), t.column("label").to_numpy()
-    size, out = x.sum(axis=1), np.zeros(len(x), dtype=bool)
-    for i in range(len(x) - 1):
-        low, high = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
-        j = i + 1 + np.flatnonzero((labels[i + 1 :] != labels[i]) & (100 * low >= percent * high))
-        met = np.minimum(x[i], x[j]).sum(axis=1)
-        j = j[100 * met >= percent * (size[i] + size[j] - met)]
-        out[j] = True
-        out[i] |= len(j) > 0
+    """Whether the parities of a row allow a link with some row of another label."""
+    x, out = [np.frombuffer(b, dtype=np.uint64) for b in t.column("body").to_pylist()], np.zeros(len(t), dtype=bool)
+    for i, js in may_link(x, t.column("label").to_numpy(), percent):
+        out[js] = True
+        out[i] |= len(js) > 0
     return out
 
 
