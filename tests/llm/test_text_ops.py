@@ -77,6 +77,28 @@ def test_decode_of_broken_ids():
 # Packing
 
 
+def test_words_stay_remembered_among_rare_ones():
+    library, words, asked = Tokenizer.from_file(WORD), packing.WordTokenizer(WORD, memo=64), []
+    fn = words.memo.fn
+    words.memo.fn = lambda k: asked.append(k) or fn(k)
+    marks = [".", ",", "!!", ",###", "'s", "", "'", " 4.0"]
+    for i in range(400):
+        text = f"The{marks[i % 8]} rare{chr(97 + i % 26)}{chr(97 + i // 26)} Été of{marks[-i % 8]} x{i}"
+        assert np.frombuffer(words(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert all(asked.count(w) == 1 for w in ("the", "été", "of", ",###"))
+    assert len(words.memo) + len(words.memo.new) + len(words.memo.before) <= 64
+
+
+def test_plain_pieces_of_every_pair_of_characters():
+    words = packing.WordTokenizer(WORD)
+    plain = [c for i in range(0x250) if not packing.ODD.search(c := chr(i))]
+    for c in plain:
+        text = " ".join(f"{c}{d}{c}" for d in plain)
+        assert words.known and words(text) == words.whole(text)
+    words.known = False
+    assert words("It's 10.5") == words.whole("It's 10.5")
+
+
 def check_packing(rows, want):
     docs_, seqs = {}, {}
     for r in rows:

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import TypeVar
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from ..sources.tables import release, workspace, written
 
-__all__ = ["Memo", "free_name", "make_room", "release", "resident", "slices", "workspace", "written"]
+__all__ = ["Memo", "SteadyMemo", "free_name", "make_room", "release", "resident", "slices", "workspace", "written"]
 
 Kept = TypeVar("Kept")
 
@@ -38,6 +39,37 @@ class Memo(dict):
         return value
 
 
+class SteadyMemo(dict):
+    """``fn(key)`` remembered as by ``Memo``, for corpora with a long tail of rare keys.
+
+    A key is on trial until it comes a second time within the last ``limit / 8`` to ``limit / 4`` new keys; only then it is kept, and
+    the oldest of those kept make room. So rare keys never push out frequent ones, and at most ``limit`` keys are held in all.
+    """
+
+    def __init__(self, fn: Callable, limit: int = 120_000, longest: int = 48):
+        super().__init__()
+        self.fn, self.longest, self.trial, self.limit = fn, longest, max(1, limit // 8), max(1, limit * 3 // 4)
+        self.new: dict = {}
+        self.before: dict = {}
+
+    def __missing__(self, key):
+        value = self.new.pop(key, None)
+        if value is None:
+            value = self.before.pop(key, None)
+        if value is not None:
+            if len(self) >= self.limit:
+                for k in list(islice(self, 1 + self.limit // 16)):
+                    del self[k]
+            self[key] = value
+            return value
+        value = self.fn(key)
+        if len(key) <= self.longest:
+            if len(self.new) >= self.trial:
+                self.before, self.new = self.new, {}
+            self.new[key] = value
+        return value
+
+
 _resident: dict[tuple, object] = {}
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_left, bisect_right, insort
-from struct import pack as pack_ids
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import Memo, resident, slices
+from ._common import SteadyMemo, resident, slices
 from .bpe import byte_letters
 
 SCHEMA = T.StructType([
@@ -43,12 +43,21 @@ SCHEMA = T.StructType([
 
 #: Anything but letters below U+0250, which are composed already and lower-case alike everywhere, and plain white space.
 ODD = re.compile("[^\t-\r\x20-\x7e\xa1-\u024f]|<\\|")
+#: Fixed value: the pattern by which the vocabulary splits texts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def plain_pieces() -> re.Pattern:
+    """``SPLIT`` for lower-case texts without ``ODD`` characters, as plain character classes."""
+    plain = sorted({c for i in (*range(0x21, 0x7F), *range(0xA1, 0x250)) for c in chr(i).lower()})
+    letters, numbers = ("".join(re.escape(c) for c in plain if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
+    return re.compile(f"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{numbers}]|[^\\s{letters}{numbers}]+")
 
 
 class WordTokenizer:
-    """Ids by a vocabulary with word ends, each distinct word given to the library's model once.
+    """Ids by a vocabulary with word ends, each distinct piece given to the library's model once while it is remembered.
 
-    Texts with ``ODD`` characters or what may be an added token go to the library whole.
+    Texts with ``ODD`` characters or what may be an added token go to the library whole, and so do all texts of a vocabulary that splits otherwise.
     """
 
     def __init__(self, path: str, memo: int = 120_000):
@@ -57,29 +66,28 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        with open(path, encoding="utf-8") as f:
-            splits = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.pieces = regex.compile(splits[0]["pattern"]["Regex"])
+        splits = json.loads(self.library.pre_tokenizer.__getstate__()).get("pretokenizers") or [{}]
+        self.known = splits[0].get("pattern") == {"Regex": SPLIT}
+        self.pieces = plain_pieces()
         self.model = self.library.model
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.memo = Memo(self.word, memo)
+        self.packed = [Struct(f"<{n}I").pack for n in range(64)]
+        self.memo = SteadyMemo(self.piece, memo)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        """Ids of a lower-case word without white space."""
-        ids: list[int] = []
-        for p in (word,) if word.isalpha() else self.pieces.findall(word):
-            ids += [t.id for t in self.model.tokenize(p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())))]
-        return pack_ids(f"<{len(ids)}I", *ids)
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece: lower-case letters, a digit, or other characters but white space."""
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode())))]
+        return self.packed[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if ODD.search(text):
+        if ODD.search(text) or not self.known:
             return self.whole(text)
-        return b"".join(map(self.memo.__getitem__, text.lower().split()))
+        return b"".join(map(self.memo.__getitem__, self.pieces.findall(text.lower())))
 
 
 def tokenizer(path: str) -> WordTokenizer:
