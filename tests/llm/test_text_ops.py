@@ -74,6 +74,27 @@ def test_decode_of_broken_ids():
     assert "\ufffd" in c.decode(half) and c.decode(None) == "" and c.decode(np.array([10**6], "<u4").tobytes()) == ""
 
 
+def test_pieces_stay_remembered_among_rare_ones():
+    library, c, asked = Tokenizer.from_file(BYTE), bpe.Codec(BYTE, memo=40), []
+    fn = c.encode_bytes
+    c.encode_bytes = lambda p: asked.append(p) or fn(p)
+    for i in range(400):
+        text = f"The rare{chr(97 + i % 26)}{chr(97 + i // 26)} Été of,###  x{i}" + " ’日"[i % 3]
+        assert np.frombuffer(c.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert all(asked.count(w.encode()) == 1 for w in ("The", " Été", " of", ",###"))
+    assert sum(len(m) + len(m.new) + len(m.before) for m in (c.of_piece, c.of_chunk)) <= 80
+
+
+def test_plain_byte_pieces_of_every_pair_of_characters():
+    library, c = Tokenizer.from_file(BYTE), bpe.codec(BYTE)
+    plain = list(map(chr, range(0x250)))
+    for a in plain:
+        text = " ".join(f"{a}{b}{a}" for b in plain)
+        assert not bpe.ODD.search(text) and c.plain_pieces.findall(text) == c.pieces.findall(text)
+    text = "".join(f"{a} {b}" for a, b in zip(plain, plain[::-1], strict=True))
+    assert np.frombuffer(c.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 # Packing
 
 

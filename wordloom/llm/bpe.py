@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Memo, make_room, resident, slices
+from ._common import SteadyMemo, make_room, resident, slices
 
 # Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,6 +38,17 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = "\t-\r \x85\xa0  -     　"
 
 
+#: Anything but characters below U+0250.
+ODD = re.compile("[^\x00-\u024f]")
+
+
+def plain_pieces() -> re.Pattern:
+    """``PATTERN`` for texts without ``ODD`` characters, as plain character classes."""
+    plain = [chr(i) for i in range(0x250)]
+    letters, numbers = ("".join(re.escape(c) for c in plain if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
+    return re.compile(f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{SPACE}{letters}{numbers}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
+
 def byte_letters() -> dict[str, int]:
     """Letter -> byte of the printable alphabet in which byte-level vocabularies are written."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -64,6 +75,7 @@ class Codec:
         for i, n in enumerate(names):
             rank.setdefault(n, i)
         self.ids = np.array([vocab[n] for n in names], dtype="<u4")
+        self.packed = [i.to_bytes(4, "little") for i in self.ids.tolist()]
         self.tokens = [raw(n) for n in names]
         self.split = [(i, i) for i in range(len(singles))] + [(rank[a], rank[b]) for a, b in merges]
         self.merged = {s: i for i, s in enumerate(self.split) if i >= len(singles)}
@@ -89,8 +101,9 @@ class Codec:
         self.blob = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), dtype=np.uint8)
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.pieces = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
-        self.of_piece = Memo(self._piece, memo)
-        self.of_chunk = Memo(self._chunk, memo)
+        self.plain_pieces = plain_pieces()
+        self.of_piece = SteadyMemo(self._piece, 3 * memo // 2)
+        self.of_chunk = SteadyMemo(self._chunk, memo // 2)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merge rules leave these two tokens side by side."""
@@ -150,7 +163,7 @@ class Codec:
         return out
 
     def _piece(self, piece: str) -> bytes:
-        return self.ids[self.encode_bytes(piece.encode())].tobytes()
+        return b"".join([self.packed[i] for i in self.encode_bytes(piece.encode())])
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.of_piece.__getitem__, self.pieces.findall(chunk)))
@@ -164,6 +177,8 @@ class Codec:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
+        if not ODD.search(text):
+            return b"".join(map(self.of_piece.__getitem__, self.plain_pieces.findall(text)))
         return b"".join(map(self.of_chunk.__getitem__, self.chunks.findall(text)))
 
     def decode(self, ids: bytes | None) -> str:
