@@ -58,8 +58,8 @@ def naive_lm_train(spark, source: str, out: str, vocabulary: int = vocab.VOCABUL
 
 def spacesaving_lm_train(spark, source: str, out: str, vocabulary: int = vocab.VOCABULARY, threshold: float = vocab.THRESHOLD, merged: bool = False, parity: bool = False) -> None:
     began = time.time()
-    x = _tokens(spark, source, parity)
-    v = sketch.merged(x, vocabulary) if merged else sketch.exact_order(x, vocabulary, *text.FILE_KEY, "line_no", "pos")
+    lines = text.lines(text.text_file(spark, source, whole=parity), text.FILE_KEY, drop_unterminated=parity)
+    v = sketch.merged(_tokens(spark, source, parity), vocabulary) if merged else sketch.exact_order(lines, vocabulary, *text.FILE_KEY, "line_no")
     models.save(out, {"kind": "space-saving", "capacity": vocabulary, "threshold": threshold}, vocab=v)
     _report("spacesaving-lm-train", spark.read.parquet(f"{out}/vocab").agg(F.sum("count")).first()[0] or 0, began)
 
