@@ -33,7 +33,9 @@ def pairs(sentences: DataFrame, key: list[str], ids: str = "ids", c: int = CONTE
     """
     reach = (lambda pos: dynamic_reach(c, dynamic, *[F.col(k) for k in key], pos)) if dynamic else (lambda pos: F.lit(c))
     x = _windows(sentences, key, ids, reach)
-    return x.select(*key, (F.col("_p") + 1).cast("long").alias("pos"), "target", F.explode("_ctx").alias("context"))
+    # The outer form, with a filter behind it: else the optimizer would draw and slice once more for each centre, to ask whether it has a window.
+    x = x.select(*key, (F.col("_p") + 1).cast("long").alias("pos"), "target", F.posexplode_outer("_ctx").alias("_q", "context"))
+    return x.where(F.col("_q").isNotNull()).drop("_q")
 
 
 def has_oov(ids: str | Column) -> Column:
